@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate
+from weftline.llm import decontaminate, tokencount
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_benchmark_decontamination": decontaminate.contract,
+        "op9_token_counts": tokencount.contract,
     }
 
 
