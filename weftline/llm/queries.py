@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, tokencount
+from weftline.llm import decontaminate, language, tokencount
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_language_id": language.contract,
         "op7_benchmark_decontamination": decontaminate.contract,
         "op9_token_counts": tokencount.contract,
     }
