@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, language, tokencount
+from weftline.llm import decontaminate, language, tokencount, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": language.contract,
         "op7_benchmark_decontamination": decontaminate.contract,
         "op9_token_counts": tokencount.contract,
+        "op10_toxicity": toxicity.contract,
     }
 
 
