@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, language, tokencount, toxicity
+from weftline.llm import decontaminate, jaccard, language, tokencount, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard_join": jaccard.contract,
         "op5_language_id": language.contract,
         "op7_benchmark_decontamination": decontaminate.contract,
         "op9_token_counts": tokencount.contract,
