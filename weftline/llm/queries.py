@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, jaccard, language, tokencount, toxicity
+from weftline.llm import decontaminate, jaccard, language, tokencount, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": jaccard.contract,
         "op5_language_id": language.contract,
+        "op6_warc": warc.contract,
         "op7_benchmark_decontamination": decontaminate.contract,
         "op9_token_counts": tokencount.contract,
         "op10_toxicity": toxicity.contract,
