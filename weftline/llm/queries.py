@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, jaccard, language, tokencount, toxicity, warc
+from weftline.llm import decontaminate, jaccard, language, mixing, tokencount, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": jaccard.contract,
+        "op3_mixing": mixing.contract,
         "op5_language_id": language.contract,
         "op6_warc": warc.contract,
         "op7_benchmark_decontamination": decontaminate.contract,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mixing": mixing.ORACLE_SQL}
