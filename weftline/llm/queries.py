@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, jaccard, language, mixing, tokencount, toxicity, warc
+from weftline.llm import decontaminate, fingerprint, jaccard, language, mixing, tokencount, toxicity, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": jaccard.contract,
         "op3_mixing": mixing.contract,
+        "op4_document_fingerprints": fingerprint.contract,
         "op5_language_id": language.contract,
         "op6_warc": warc.contract,
         "op7_benchmark_decontamination": decontaminate.contract,
+        "op8_url_filters": urlfilter.contract,
         "op9_token_counts": tokencount.contract,
         "op10_toxicity": toxicity.contract,
     }
