@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, fingerprint, jaccard, language, mixing, tokencount, toxicity, urlfilter, warc
+from weftline.llm import decontaminate, fingerprint, jaccard, language, mixing, pii, tokencount, toxicity, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": jaccard.contract,
+        "op2_pii": pii.contract,
         "op3_mixing": mixing.contract,
         "op4_document_fingerprints": fingerprint.contract,
         "op5_language_id": language.contract,
