@@ -229,13 +229,13 @@ def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _tiles(numer: int, denom: int):
-    """From rows (key, i, j, row_key, n, bits) sorted by tile: the coarse forest."""
+    """From rows (s, t, i, j, row_key, n, bits) sorted by tile: the coarse forest."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         told: set[tuple[int, int]] = set()
-        for tile in runs(batches, 3):
-            ids = tile.column(3).to_numpy()
+        for tile in runs(batches, 4):
+            ids = tile.column(4).to_numpy()
             if len(ids) < 2:
                 continue
             name = ids.tobytes()
@@ -245,7 +245,7 @@ def _tiles(numer: int, denom: int):
             if len(seen) >= _SEEN:
                 seen.clear()
             seen.add(name)
-            group = Group(ids, tile.column(4).to_numpy(), tile.column(5).to_pylist())
+            group = Group(ids, tile.column(5).to_numpy(), tile.column(6).to_pylist())
             new = [p for p in group.forest(numer, denom) if p not in told]
             if len(told) + len(new) > _SEEN:
                 told.clear()
@@ -297,7 +297,7 @@ def _exact_tiles(numer: int, denom: int):
     return join
 
 
-def _dealt(rows: DataFrame, key: list[str], blocks: F.Column, on: str) -> DataFrame:
+def _dealt(rows: DataFrame, blocks: F.Column, on: str) -> DataFrame:
     """rows with (i, j): tiles of one block have (0, 0); of more, each pair of blocks, and a row goes to the pairs of its own block."""
     rows = rows.withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64(F.lit(3), on), F.col("nb")).cast("int"))
     pairs = F.when(F.col("nb") <= 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
@@ -316,10 +316,12 @@ def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
     # Tiles of two documents and more.
     by_key = Window.partitionBy("key")
     met = base.where("keys is not null").select("row_key", F.explode("keys").alias("key"))
-    met = met.withColumn("m", F.count("*").over(by_key)).where("m > 1")
-    met = _dealt(met, ["key"], F.ceil(F.col("m") / F.lit(TILE_ROWS)), "row_key").select("key", "row_key", F.explode("ij").alias("ij"))
+    # Copies share very many elements: tiles of the same documents (by two hashes of the set of their ids) become one.
+    met = met.withColumns({"m": F.count("*").over(by_key), "s": F.bit_xor(F.xxhash64("row_key")).over(by_key), "t": F.bit_xor(F.xxhash64(F.lit(7), "row_key")).over(by_key)})
+    met = met.where("m > 1").select("s", "t", "m", "row_key").distinct()
+    met = _dealt(met, F.ceil(F.col("m") / F.lit(TILE_ROWS)), "row_key").select("s", "t", "row_key", F.explode("ij").alias("ij"))
     met = met.join(base.where("keys is not null").select("row_key", "n_shingles", "bits"), "row_key")
-    tiles = met.select("key", "ij.i", "ij.j", "row_key", "n_shingles", "bits").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "row_key")
+    tiles = met.select("s", "t", "ij.i", "ij.j", "row_key", "n_shingles", "bits").repartition("s", "t", "i", "j").sortWithinPartitions("s", "t", "i", "j", "row_key")
     coarse = components(tiles.mapInArrow(_tiles(numer, denom), "a long, b long"))
 
     # Exact tiles of each coarse class.
@@ -332,7 +334,7 @@ def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
     # Of a large class, sizes that can link are in the same band of sizes or in neighbouring ones; a tile holds a band and the next.
     member = member.withColumn("band", F.explode(F.when(small, F.array(F.lit(-1))).otherwise(F.array(F.col("band"), F.col("band") + 1))))
     banded = member.groupBy("component", "band").agg(F.sum("n").alias("in_band"))
-    member = _dealt(member.join(banded, ["component", "band"]), ["component", "band"], F.ceil(F.col("in_band") / F.lit(TILE_SHINGLES)), "id")
+    member = _dealt(member.join(banded, ["component", "band"]), F.ceil(F.col("in_band") / F.lit(TILE_SHINGLES)), "id")
     member = member.groupBy("id").agg(F.flatten(F.collect_list(F.transform("ij", lambda p: F.struct("component", "band", p["i"].alias("i"), p["j"].alias("j"))))).alias("tiles"))
     found = narrow.join(member.withColumnRenamed("id", "row_key"), "row_key").select("row_key", "text", "tiles")
     tiles_type = "array<struct<component:bigint,band:int,i:int,j:int>>"
