@@ -38,7 +38,8 @@ def debounced(changes: DataFrame, gap: str = DEBOUNCE, watermark: str | None = N
     """
     if watermark:
         changes = changes.withWatermark("ts", watermark)
-    session = changes.groupBy(F.lit("all").alias("k"), F.session_window("ts", gap).alias("w")).agg(F.collect_list(F.struct("path", "ts", "op")).alias("e"))
+    # Sessions of a stream need a key; a literal in the grouping itself would be folded away.
+    session = changes.withColumn("k", F.lit("all")).groupBy("k", F.session_window("ts", gap).alias("w")).agg(F.collect_list(F.struct("path", "ts", "op")).alias("e"))
     paths = F.array_distinct(F.transform("e", lambda x: x["path"]))
     last = F.transform(paths, lambda p: F.struct(p.alias("path"), F.array_max(F.transform(F.filter("e", lambda x: x["path"] == p), lambda x: F.struct(x["ts"], x["op"])))["op"].alias("op")))
     return session.select(F.col("w.start").alias("burst_start"), F.col("w.end").alias("burst_end"), F.explode(last).alias("x")).select("burst_start", "burst_end", "x.path", "x.op")
