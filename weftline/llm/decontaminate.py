@@ -10,7 +10,7 @@ occurrence.  Documents with a hit are affected and can be removed.
 
 The shards need no shuffle.  The test set travels to the executors in blocks of at
 most ``MAX_TEST_BYTES`` of text, so what is broadcast has a bound whatever the size
-of the test set; with several blocks the hits of a document are merged afterwards.
+of the test set; with several blocks each pass adds to what a row has, without a shuffle.
 
 Defined cases: a null or empty text has no words and no hit; items without words are
 ignored; items with fewer words than a window are one window; repeated items count
@@ -20,7 +20,6 @@ not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -157,43 +156,40 @@ def match_block(offsets: np.ndarray, data: np.ndarray, tests: TestSet) -> Iterat
         yield int(counts[d]), [a for a, _ in spans], [b for _, b in spans], sorted({tests.ids[i] for _, _, i in own}), length, tests.ids[item] if length else None, place_ if length else None
 
 
-def _searcher(tests_of):
+_TYPES = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32(), pa.string(), pa.int32()]
+_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+
+
+def merged(a: tuple, b: tuple) -> tuple:
+    """Results of one document against two blocks of items; overlapping spans become one."""
+    spans: list[list[int]] = []
+    for x, y in sorted([*zip(a[1], a[2]), *zip(b[1], b[2])]):
+        if spans and x <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], y)
+        else:
+            spans.append([x, y])
+    return a[0], [x for x, _ in spans], [y for _, y in spans], sorted({*a[3], *b[3]}), *max(a[4:], b[4:], key=lambda t: t[0])
+
+
+def _searcher(tests_of, more: bool, before: bool):
+    """Matches of one block of items; ``before``: rows carry what earlier blocks found, ``more``: texts go on to the next block."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = TestSet(tests_of.value)
         for batch in batches:
             offsets, data = tb.string_parts(batch.column(1))
-            keys = batch.column(0)
+            earlier = list(zip(*(batch.column(i + 2).to_pylist() for i in range(len(_TYPES))))) if before else None
             for a, b in tb.blocks(offsets):
                 out = list(match_block(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]], tests))
-                cols = list(zip(*out))
-                types = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32(), pa.string(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), *(pa.array(c, t) for c, t in zip(cols, types))], names=["row_key", "n_words", "hit_from", "hit_to", "items", "longest", "longest_item", "longest_at"])
+                if earlier:
+                    out = [merged(x, y) for x, y in zip(earlier[a:b], out)]
+                found = [pa.array(c, t) for c, t in zip(zip(*out), _TYPES)]
+                kept = [batch.column(i).slice(a, b - a) for i in range(2 if more else 1)]
+                yield pa.RecordBatch.from_arrays([*kept, *found], names=["row_key", *(["text"] if more else []), *_NAMES[1:]])
 
     return search
 
 
-def _merge(frames: list[DataFrame]) -> DataFrame:
-    """Results of several blocks of items, joined by document; overlapping spans become one."""
-    out = frames[0]
-    for df in frames[1:]:
-        out = out.unionByName(df)
-    grouped = out.groupBy("row_key").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list(F.arrays_zip("hit_from", "hit_to")))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.max(F.struct("longest", "longest_item", "longest_at")).alias("best"),
-    )
-    joined = F.aggregate(
-        "spans",
-        F.expr("cast(array() as array<struct<a:int,b:int>>)"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (x["hit_from"] <= F.element_at(acc, -1)["b"]),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["hit_to"]).alias("b")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["hit_from"].alias("a"), x["hit_to"].alias("b"))))),
-    )
-    return grouped.withColumn("spans", joined).select("row_key", "n_words", F.col("spans.a").alias("hit_from"), F.col("spans.b").alias("hit_to"), "items", F.col("best.longest").alias("longest"), F.col("best.longest_item").alias("longest_item"), F.col("best.longest_at").alias("longest_at"))
-
-
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, str]]]:
     """The test set in blocks of a bounded size; it is streamed, one block is held at a time."""
     block: list[tuple[str, str]] = []
@@ -212,11 +208,13 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int)
 def find_matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", limit: int = MAX_TEST_BYTES) -> DataFrame:
     """row_key, n_words, merged hit spans in words, items found, and the longest match with its item and place, for each document."""
     spark = docs.sparkSession
-    narrow = docs.select(F.col(key).cast("long").alias("row_key"), F.col(text).alias("text"))
-    frames = [narrow.mapInArrow(_searcher(spark.sparkContext.broadcast(block)), SCHEMA) for block in item_blocks(benchmark, item, item_text, limit)]
-    if not frames:
-        frames = [narrow.mapInArrow(_searcher(spark.sparkContext.broadcast([])), SCHEMA)]
-    return frames[0] if len(frames) == 1 else _merge(frames)
+    rows = docs.select(F.col(key).cast("long").alias("row_key"), F.col(text).alias("text"))
+    found = [spark.sparkContext.broadcast(b) for b in item_blocks(benchmark, item, item_text, limit)] or [spark.sparkContext.broadcast([])]
+    wide = SCHEMA.replace("row_key long, ", "row_key long, text string, ", 1)
+    for i, tests_of in enumerate(found):
+        more = i + 1 < len(found)
+        rows = rows.mapInArrow(_searcher(tests_of, more, i > 0), wide if more else SCHEMA)
+    return rows
 
 
 def n_hit() -> F.Column:
@@ -259,11 +257,24 @@ def contract(spark, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("hit_from") > 0).alias("contaminated"),
-        "longest",
-        "longest_item",
-        "longest_at",
     )
 
 
-def sha_of(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+def _words_sql(text: str) -> str:
+    return f"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+#: Windows of item and document meet as strings.
+ORACLE_SQL = f"""
+WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_words_sql("text")} AS w FROM benchmark WHERE text IS NOT NULL),
+iw AS (SELECT DISTINCT item, least({WINDOW}, len(w)) AS k, array_to_string(list_slice(w, s, s + least({WINDOW}, len(w)) - 1), ' ') AS win
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - {WINDOW} + 1, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
+d AS (SELECT doc_id, coalesce({_words_sql("text")}, []) AS w FROM documents),
+dw AS (SELECT doc_id, k, s, array_to_string(list_slice(w, s, s + k - 1), ' ') AS win
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM iw) WHERE len(w) >= k)),
+m AS (SELECT dw.doc_id, dw.s, dw.k, iw.item FROM dw JOIN iw ON iw.k = dw.k AND iw.win = dw.win),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items, sha256(coalesce(t.items, '')) AS items_sha256, h.n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""

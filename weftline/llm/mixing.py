@@ -113,37 +113,38 @@ def plan(rows: DataFrame, *, seed: int = SEED, **how) -> DataFrame:
     return leaves.join(lines, keys, "left").select(*keys, "tokens", "budget", "epochs", "line")
 
 
-def take(docs: DataFrame, leaf_plan: DataFrame, *, key: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """docs (with domain_, lang_, source_ columns) that the plan takes, with ``copies``."""
-    leaf_plan = leaf_plan.select(*(F.col(c).alias(f"{c}_") for c in LEVELS), F.col("epochs").alias("epochs_"), F.col("line").alias("line_"))
-    joined = docs.join(leaf_plan, [f"{c}_" for c in LEVELS])
-    in_prefix = F.struct(_order(seed, F.col("epochs_"), F.col(key)).alias("order"), F.col(key).cast("long").alias("row_key")) <= F.col("line_")
-    return joined.withColumn("copies", F.col("epochs_") + F.coalesce(in_prefix, F.lit(False)).cast("int")).where("copies > 0").drop("epochs_", "line_")
+def take(docs: DataFrame, leaf_plan: DataFrame, leaf: list[Column], *, key: str = "doc_id", seed: int = SEED) -> DataFrame:
+    """docs that the plan takes, with ``copies`` (a column of that name is replaced); ``leaf`` gives domain, language and source of a row."""
+    names = docs.columns
+    inner = docs.select(F.struct(*(F.col(c) for c in names)).alias("row"), *(c.alias(n) for c, n in zip(leaf, LEVELS)), F.col(key).cast("long").alias("row_key"))
+    joined = inner.join(leaf_plan.select(*LEVELS, "epochs", "line"), list(LEVELS))
+    in_prefix = F.struct(_order(seed, F.col("epochs"), F.col("row_key")).alias("order"), F.col("row_key")) <= F.col("line")
+    joined = joined.withColumn("copies", F.col("epochs") + F.coalesce(in_prefix, F.lit(False)).cast("int")).where("copies > 0")
+    return joined.select(*(F.col("row")[c].alias(c) for c in names if c.lower() != "copies"), "copies")
 
 
-def with_leaf(docs: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+def leaf_of(lang: str = "lang", source: str = "source") -> list[Column]:
     none = F.lit("(none)")
-    return docs.withColumns({"domain_": domain_of(F.col(source)), "lang_": F.coalesce(F.col(lang), none), "source_": F.coalesce(F.col(source), none)})
+    return [domain_of(F.col(source)), F.coalesce(F.col(lang), none), F.coalesce(F.col(source), none)]
 
 
 def narrow_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """What budgeting needs of each document, counted once."""
-    return table(with_leaf(docs).select(F.col(key).cast("long").alias("row_key"), *(F.col(f"{c}_").alias(c) for c in LEVELS), tokens_of(F.col(text)).alias("n_tokens")))
+    return table(docs.select(F.col(key).cast("long").alias("row_key"), *(c.alias(n) for c, n in zip(leaf_of(), LEVELS)), tokens_of(F.col(text)).alias("n_tokens")))
 
 
 def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", seed: int = SEED, **how) -> DataFrame:
     """The documents of the mix, unchanged, with ``copies``: how often each is taken."""
     leaf_plan = table(plan(narrow_rows(docs, key, text), seed=seed, **how))
-    return take(with_leaf(docs), leaf_plan, key=key, seed=seed).select(*docs.columns, "copies")
+    return take(docs, leaf_plan, leaf_of(), key=key, seed=seed)
 
 
 def contract(spark, sf_dir: str) -> DataFrame:
     """op3: every document of the mix, its leaf, its tokens and its copies."""
     rows = narrow_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     leaf_plan = table(plan(rows))
-    named = rows.select("row_key", "n_tokens", *(F.col(c).alias(f"{c}_") for c in LEVELS))
-    out = take(named, leaf_plan, key="row_key")
-    return out.select(F.col("row_key").alias("doc_id"), *(F.col(f"{c}_").alias(c) for c in LEVELS), "n_tokens", F.col("copies").cast("long").alias("copies"))
+    out = take(rows, leaf_plan, [F.col(c) for c in LEVELS], key="row_key")
+    return out.select(F.col("row_key").alias("doc_id"), *LEVELS, "n_tokens", F.col("copies").cast("long").alias("copies"))
 
 
 def _level_sql(level: str, parent: list[str], source: str, weights: dict[str, int]) -> str:

@@ -16,7 +16,7 @@ use the same feature expressions, and the trained model is an expression of nest
 every document is handled inside the JVM, whole, without a shuffle.
 
 Defined cases: a null text is empty, has no spans and stays null when redacted; repeated
-rows are handled alike; overlapping base spans of different kinds all stay and are redacted
+rows are handled alike; columns of any name may stand beside the text; overlapping base spans of different kinds all stay and are redacted
 as one; other columns stay as they are.
 """
 
@@ -289,12 +289,19 @@ def added_spans(text: Column, base: Column, model: Model) -> Column:
     return taken
 
 
-def with_spans(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """docs with base_ and added_: arrays of (start, rank, kind, end)."""
+def fresh(name: str, taken: list[str]) -> str:
+    """name, or with as many underscores after it as no column has yet."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
+def with_spans(docs: DataFrame, model: Model, *, text: str = "text", base: str = "base_", added: str = "added_") -> DataFrame:
+    """docs with two columns of arrays of (start, rank, kind, end): base spans, and those the method adds."""
     body = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("base_", base_spans(body))
+    out = docs.withColumn(base, base_spans(body))
     none = F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int>>)")
-    return out.withColumn("added_", F.when(body.rlike(r"[0-9]{4}|[(\[]at[)\]]"), added_spans(body, F.col("base_"), model)).otherwise(none))
+    return out.withColumn(added, F.when(body.rlike(r"[0-9]{4}|[(\[]at[)\]]"), added_spans(body, F.col(base), model)).otherwise(none))
 
 
 def as_text(spans: Column) -> Column:
@@ -304,8 +311,10 @@ def as_text(spans: Column) -> Column:
 def redact(docs: DataFrame, model: Model | None = None, *, text: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; spans that overlap become one, named by the first."""
     model = model or train(docs.sparkSession)
-    found = with_spans(docs, model, text=text)
-    spans = F.array_sort(F.concat("base_", "added_"))
+    base = fresh("base_", docs.columns)
+    added = fresh("added_", [*docs.columns, base])
+    found = with_spans(docs, model, text=text, base=base, added=added)
+    spans = F.array_sort(F.concat(base, added))
     start = F.expr("named_struct('at', 0, 'out', '')")
     body = F.col(text)
     # Text up to a span that begins after what is already covered, then the span's name.
@@ -314,7 +323,7 @@ def redact(docs: DataFrame, model: Model | None = None, *, text: str = "text") -
         F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(acc["out"]).alias("out"),
     )
     done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.char_length(body))))
-    return found.withColumn(text, F.when(F.size("base_") + F.size("added_") > 0, done).otherwise(body)).select(*docs.columns)
+    return found.withColumn(text, F.when(F.size(base) + F.size(added) > 0, done).otherwise(body)).select(*docs.columns)
 
 
 def contract(spark, sf_dir: str) -> DataFrame:

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE_SQL}
+    return {"op3_mixing": mixing.ORACLE_SQL, "op7_benchmark_decontamination": decontaminate.ORACLE_SQL, "op8_url_filters": urlfilter.ORACLE_SQL}

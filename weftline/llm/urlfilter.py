@@ -73,8 +73,8 @@ def demo_tables(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     host = host_of(F.col("url"))
     hosts = pages.select(host.alias("h")).where("h <> ''").distinct()
     named = hosts.select(F.concat(F.lit("host:"), "h").alias("entry")).unionByName(hosts.select(F.concat(F.lit("domain:"), F.substring_index("h", ".", -3)).alias("entry")).distinct())
-    h = F.crc32(F.col("entry").cast("binary"))
-    named = named.withColumn("c", h).where("c % 5 < 2").withColumn("category", F.concat(F.lit("c"), (F.col("c") % 3).cast("string")))
+    number = F.conv(F.substring(F.md5(F.col("entry").cast("binary")), 1, 4), 16, 10).cast("int")
+    named = named.withColumn("c", number).where("c % 5 < 2").withColumn("category", F.concat(F.lit("c"), (F.col("c") % 3).cast("string")))
     dated = [("add", F.col("c") % 97), ("remove", F.col("c") % 97 + 60 + F.col("c") % 31), ("add", F.col("c") % 97 + 200)]
     days = F.array(*(F.struct(F.lit(action).alias("action"), at.alias("at")) for action, at in dated))
     return captures, named.select("entry", "category", F.explode(days).alias("d")).select("entry", "category", "d.action", "d.at")
@@ -86,3 +86,17 @@ def contract(spark, sf_dir: str) -> DataFrame:
     found = match(captures, log).groupBy("page_id").agg(F.count("*").alias("n_listed"), F.min(F.struct("entry", "category")).alias("e"))
     out = captures.join(found, "page_id", "left")
     return out.select("page_id", "fetched", F.coalesce("n_listed", F.lit(0)).alias("n_listed"), F.col("e.entry").alias("entry"), F.col("e.category").alias("category"), F.col("n_listed").isNull().alias("kept"))
+
+
+ORACLE_SQL = f"""
+WITH p AS (SELECT page_id, (page_id * 37) % {DEMO_DAYS} AS fetched,
+    regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^.*@', ''), ':[0-9]*$', ''), '\\.$', '') AS h FROM pages),
+h AS (SELECT DISTINCT h, array_to_string(list_slice(string_split(h, '.'), -3, -1), '.') AS d FROM p WHERE h <> ''),
+named AS (SELECT 'host:' || h AS entry FROM h UNION SELECT 'domain:' || d FROM h),
+kept AS (SELECT entry, c, 'c' || (c % 3) AS category FROM (SELECT entry, CAST('0x' || substr(md5(entry), 1, 4) AS INT) AS c FROM named) WHERE c % 5 < 2),
+log AS (SELECT entry, category, 'add' AS action, c % 97 AS day FROM kept UNION ALL SELECT entry, category, 'remove', c % 97 + 60 + c % 31 FROM kept UNION ALL SELECT entry, category, 'add', c % 97 + 200 FROM kept),
+spans AS (SELECT * FROM (SELECT *, lead(day) OVER (PARTITION BY entry ORDER BY day) AS until FROM log) WHERE action = 'add'),
+probes AS (SELECT page_id, fetched, 'host:' || p.h AS entry FROM p WHERE h <> '' UNION ALL SELECT page_id, fetched, 'domain:' || h.d FROM p JOIN h ON h.h = p.h),
+found AS (SELECT page_id, count(*) AS n, min(s.entry) AS entry, min_by(s.category, s.entry) AS category FROM probes q JOIN spans s ON s.entry = q.entry AND s.day <= q.fetched AND (s.until IS NULL OR q.fetched < s.until) GROUP BY page_id)
+SELECT p.page_id, p.fetched, coalesce(f.n, 0) AS n_listed, f.entry, f.category, f.n IS NULL AS kept FROM p LEFT JOIN found f ON f.page_id = p.page_id
+"""
