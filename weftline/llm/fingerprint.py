@@ -103,11 +103,12 @@ def with_next(docs: DataFrame, ranges: int = RANGES) -> tuple[DataFrame, Window]
     before = F.coalesce(F.lag("range").over(order), F.last("range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     heads = heads.withColumn("before", before).select("row_key", "before")
     closing = placed.join(F.broadcast(heads), "row_key").select(F.col("before").alias("range"), "row_key", "text", F.lit(True).alias("follows"))
-    own = placed.select(at.alias("range"), "row_key", "text", F.lit(False).alias("follows"))
-    # A null id is a range of its own and closes it itself.
-    alone = docs.where("row_key is null").select(F.expr("cast(null as int)").alias("range"), "row_key", "text", F.lit(False).alias("follows"))
+    # Rows without an id are dealt out by their text and need no neighbour.  All rows meet before the one exchange: a union after it would cost another.
+    place = F.when(F.col("row_key").isNotNull(), at).otherwise(-1 - F.pmod(F.xxhash64("text"), F.lit(ranges)).cast("int"))
+    own = docs.select(place.alias("range"), "row_key", "text", F.lit(False).alias("follows"))
     by = Window.partitionBy("range").orderBy("follows", "row_key", "text")
-    return own.unionByName(closing).withColumn("next_text", F.lead("text").over(by)).unionByName(alone.withColumn("next_text", F.col("text"))), by
+    after = F.when(F.col("row_key").isNull(), F.col("text")).otherwise(F.lead("text").over(by))
+    return own.unionByName(closing).withColumn("next_text", after), by
 
 
 def contract(spark, sf_dir: str) -> DataFrame:
