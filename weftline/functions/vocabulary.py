@@ -5,7 +5,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 #: Folders that scans never enter.
-SKIPPED_FOLDERS = ("__pycache__", ".venv", "venv", "env", "node_modules", ".git", ".causal-graph", ".tox", ".mypy_cache", ".pytest_cache")
+SKIPPED_FOLDERS = ("__pycache__", ".venv", "venv", "env", "node_modules", ".git", ".weftline", ".tox", ".mypy_cache", ".pytest_cache")
 
 #: File extensions of each language.
 EXTENSIONS = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".go": "go", ".rs": "rust", ".java": "java"}
