@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import textblocks as tb
 from weftline.llm.components import components
-from weftline.llm.spill import table
+from weftline.llm.spill import release, table
 
 WIDTH = 5
 #: The least similarity, as a fraction of integers.
@@ -306,13 +306,8 @@ def _dealt(rows: DataFrame, blocks: F.Column, on: str) -> DataFrame:
     return rows.withColumn("ij", pairs)
 
 
-def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = WIDTH, numer: int = NUMER, denom: int = DENOM) -> tuple[DataFrame, DataFrame]:
-    """(row_key, n_shingles) of every row, and (id, component) of every document that is not the first of its class."""
-    spark = docs.sparkSession
-    narrow = docs.select(F.col(key).cast("long").alias("row_key"), F.col(text).alias("text"))
-    frequent = spark.sparkContext.broadcast(frequent_elements(narrow, width))
-    base = table(narrow.mapInArrow(_signer(width, numer, denom, frequent), BASE))
-
+def _coarse_classes(base: DataFrame, numer: int, denom: int) -> DataFrame:
+    """(id, component) by the forests of all tiles: no link leaves such a class."""
     # Tiles of two documents and more.
     by_key = Window.partitionBy("key")
     met = base.where("keys is not null").select("row_key", F.explode("keys").alias("key"))
@@ -322,7 +317,18 @@ def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
     met = _dealt(met, F.ceil(F.col("m") / F.lit(TILE_ROWS)), "row_key").select("s", "t", "row_key", F.explode("ij").alias("ij"))
     met = met.join(base.where("keys is not null").select("row_key", "n_shingles", "bits"), "row_key")
     tiles = met.select("s", "t", "ij.i", "ij.j", "row_key", "n_shingles", "bits").repartition("s", "t", "i", "j").sortWithinPartitions("s", "t", "i", "j", "row_key")
-    coarse = components(tiles.mapInArrow(_tiles(numer, denom), "a long, b long"))
+    return components(tiles.mapInArrow(_tiles(numer, denom), "a long, b long"))
+
+
+def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = WIDTH, numer: int = NUMER, denom: int = DENOM) -> tuple[DataFrame, DataFrame]:
+    """(row_key, n_shingles) of every row, and (id, component) of every document that is not the first of its class."""
+    spark = docs.sparkSession
+    narrow = docs.select(F.col(key).cast("long").alias("row_key"), F.col(text).alias("text"))
+    frequent = spark.sparkContext.broadcast(frequent_elements(narrow, width))
+    base = table(narrow.mapInArrow(_signer(width, numer, denom, frequent), BASE))
+
+    coarse = _coarse_classes(base, numer, denom)
+    release(spark)
 
     # Exact tiles of each coarse class.
     member = coarse.unionByName(coarse.select(F.col("component").alias("id"), "component").distinct())
@@ -356,4 +362,5 @@ def contract(spark, sf_dir: str) -> DataFrame:
 def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each class, that with the smallest id; rows that link with nothing stay."""
     _, classes = link(docs, key=key, text=text)
+    release(docs.sparkSession)
     return docs.join(classes.select(F.col("id").alias(key)), key, "left_anti").select(*docs.columns)
