@@ -128,6 +128,16 @@ def test_op2_method_adds_and_redacts(spark):
     assert all(model.threshold[k] <= 0.99 for k in ("email", "card", "phone"))
 
 
+def test_op2_candidates_overlap(spark):
+    texts = ["paid 2024 4111 1111 1111 1111 today", "4111-1111-1111-1111-5500-0000-0000-0004", "ref 7788 5500 0000 0000 0004 2031", "tel 0301 01234 56789", "é a(at)b.c (at) d.com x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [texts[r["doc_id"]][c["start"] : c["end"]] for c in r["c"]] for r in rows.select("doc_id", pii.candidates(F.col("text")).alias("c")).collect()}
+    assert got[0] == ["2024 4111 1111 1111", "4111 1111 1111 1111"] and len(got[1]) == 5 and "5500 0000 0000 0004" in got[2]
+    assert got[3] == ["0301 01234", "01234 56789"] and got[4] == ["a(at)b.c", "b.c (at) d.com"]
+    done = [r["text"] for r in pii.redact(rows).orderBy("doc_id").collect()]
+    assert done[:3] == ["paid 2024 <CARD> today", "<CARD>-<CARD>", "ref 7788 <CARD> 2031"]
+
+
 @pytest.mark.parametrize("folder", [SF, "odd"])
 def test_op4(spark, odd, folder):
     folder = odd if folder == "odd" else folder

@@ -36,13 +36,13 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){13,}"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Generators of further candidates: kind and pattern.
+#: Generators of further candidates: kind and pattern.  Where candidates may overlap, a match takes in only the first group, and the lookahead's group 1 has the rest, so that the next group may begin a candidate too.
 PROPOSED = (
-    ("card", r"(?<![0-9])[0-9]{4}([\x20-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}(?![0-9])"),
+    ("card", r"(?<![0-9])[0-9]{4}(?=(([\x20-]?)[0-9]{4}\2[0-9]{4}\2[0-9]{2,7})(?![0-9]))"),
     ("card", r"(?<![0-9])[0-9]{14,19}(?![0-9])"),
     ("phone", r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
-    ("phone", r"(?<![0-9])0[0-9]{2,4}[\x20/-][0-9]{5,8}(?![0-9])"),
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[(\[]dot[)\]]|\.)\x20?[A-Za-z0-9-]{1,63}){1,4}(?![A-Za-z0-9-])"),
+    ("phone", r"(?<![0-9])0[0-9]{2,4}(?=([\x20/-][0-9]{5,8})(?![0-9]))"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?=(\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[(\[]dot[)\]]|\.)\x20?[A-Za-z0-9-]{1,63}){1,4})(?![A-Za-z0-9-]))"),
 )
 CONTEXT = {
     "email": r"(?i)(mail|contact|write|kontakt|correo|courriel)",
@@ -87,6 +87,14 @@ def find(text: Column, pattern: str) -> Column:
     return let(let(pieces, placed), moved)
 
 
+def propose(text: Column, pattern: str) -> Column:
+    """Spans of a generator as ``find`` gives them; with a lookahead, each goes on to the end of its group 1, and spans may overlap."""
+    if "(?=(" not in pattern:
+        return find(text, pattern)
+    rest = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    return F.zip_with(find(text, pattern), rest, lambda s, r: F.struct(s["start"].alias("start"), (s["end"] + F.char_length(r)).alias("end"), F.concat(s["value"], r).alias("value")))
+
+
 def digits_of(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -146,7 +154,7 @@ def candidates(text: Column) -> Column:
 
     parts = []
     for kind, pattern in PROPOSED:
-        spans = F.transform(find(text, pattern), features_of(kind))
+        spans = F.transform(propose(text, pattern), features_of(kind))
         if kind == "email":
             none = F.expr("array()").cast(_CANDIDATE)
             spans = F.when(text.rlike(r"[(\[]at[)\]]"), spans).otherwise(none)
@@ -182,14 +190,14 @@ def labelled_templates(n: int = TEMPLATES, seed: int = 29) -> list[tuple[str, in
         kind, yes = rng.choice(["card", "card", "phone", "local", "email"]), rng.random() < 0.5
         lead, tail = words(rng.randint(0, 6)), words(rng.randint(0, 4))
         if kind == "card":
-            # Valid numbers alone, after a hint or beside another number are cards; checksum failures, parts of codes and order numbers are not.
+            # Valid numbers alone, after a hint or beside another number or group of digits are cards; checksum failures, parts of codes and order numbers are not.
             sep = rng.choice(["", "", "", " ", "-"])
             value = _grouped(_luhn_digits(rng, rng.choice([14, 15, 16, 16, 16, 19]) if not sep else 16, yes), sep)
             if yes:
-                hint = rng.choice(["", "", "card ", "pay with ", _luhn_digits(rng, 16, True) + " "])
+                hint = rng.choice(["", "", "card ", "pay with ", _luhn_digits(rng, 16, True) + " ", num(4) + (sep or " ")])
                 after = rng.choice([" ", " ", ". ", ", ", " " + _luhn_digits(rng, 16, True) + " "])
             else:
-                hint = rng.choice(["", "id ", "no. ", "0x", 'token = "a', num(5) + " ", "card "])
+                hint = rng.choice(["", "id ", "no. ", "0x", 'token = "a', num(5) + " ", num(4) + (sep or " "), "card "])
                 after = rng.choice([" ", "f", "e3", ". "])
         elif kind == "phone":
             value = f"{rng.choice(['(%s)', '%s']) % num(3)}{rng.choice(' .-')}{num(3)}{rng.choice(' .-')}{num(4)}"
