@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir) and works on all that the stage before k
 but the last return the columns of docs.  ``run`` writes each stage as Parquet in the shared
 folder and reads it again, so a lost executor costs at most the stage under way.
 
-1. language: documents whose language cannot be told go.
+1. language: documents whose language cannot be told, or is none of those learned, go.
 2. near_duplicates: of each class of documents linked by five-word shingles at a similarity
    of 0.8 or more, that with the smallest id stays.
 3. decontaminate: documents with a passage of the benchmark go.

@@ -87,3 +87,20 @@ def test_pipeline_stages(spark):
     assert ids(before) == ids(after) and not after.where("text rlike '[0-9]{1,3}([.][0-9]{1,3}){3}|@mail'").count()
     assert not after.where("n_chars <> char_length(text)").count()
     assert pipe.run(spark, sf).count() == seen["mix"][1].count()
+
+
+def test_unknown_languages_go(spark):
+    import random
+
+    from weftline.llm import language
+
+    rng = random.Random(7)
+    junk = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    foreign = ["日本語の文章を書くことは楽しいです。今日は天気が良いので公園に行きました。", "Сегодня хорошая погода, поэтому мы пошли в парк и встретили друзей.", "Σήμερα ο καιρός είναι καλός και πήγαμε στο πάρκο", junk(8), junk(300), "x" * 400, " ".join("%08x" % rng.getrandbits(32) for _ in range(60))]
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        model = language.train(docs)
+        assert docs.select("lang").distinct().count() == 4
+        rows = spark.createDataFrame(list(enumerate(foreign)), "doc_id long, text string")
+        assert [r["text"][:20] for r in language.keep_known(rows, model).collect()] == []
+        assert docs.where("text is not null").count() - language.keep_known(docs, model).count() <= 1

@@ -8,6 +8,11 @@ a bounded sample of labelled rows (``PER_LANGUAGE`` texts of each language, from
 that are not held out); prediction runs over every whole text with a model of a few
 hundred kB.
 
+A score only weighs the learned languages against each other.  Whether a text is in any of
+them is told by its fit: the mean logarithm of how much likelier its trigrams are in the
+language that suits it best than by chance (0).  The least fit is learned from the learning
+rows, each measured by tables that the other folds gave.
+
 Defined cases: a null text, an empty text and one without letters are ``und`` with
 score 0; rows with a null language are predicted but never learned from; without any
 learning row everything is ``und``; repeated rows are predicted alike; other columns
@@ -30,8 +35,10 @@ from weftline.llm import textblocks as tb
 UND = "und"
 PER_LANGUAGE = 500
 FEATURES = 4096
-#: Below this score a document's language counts as unsure.
+#: Below this score a document's language counts as unsure (of n families of m languages each a score is at least 1 / nm).
 LEAST_SCORE = 0.2
+#: The least fit lies halfway between chance and the fit which this share of held-back learning rows do not reach; what each bucket counts before any row is seen; folds.
+FIT_SHARE, FIT_PRIOR, FIT_FOLDS = 0.002, 0.01, 4
 #: Families of languages (a fixed table of general knowledge); a language that is not listed is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
@@ -52,14 +59,22 @@ for _b in range(0x41, 0x5B):
 SCHEMA = "row_key long, lang_pred string, score double"
 
 
+def _buckets(c: np.ndarray) -> np.ndarray:
+    """The hashed trigram that begins at each but the last two of the letters c."""
+    code = c[:-2] * np.uint64(0x9E3779B97F4A7C15) + c[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + c[2:] * np.uint64(0x165667B19E3779F9)
+    return ((code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(52)).astype(np.int64)
+
+
+#: The trigram of separators alone, which says nothing about a language.
+_BLANK = int(_buckets(np.full(3, 32, dtype=np.uint64))[0])
+
+
 def features(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     """A row of unit length for each document: damped counts of its hashed trigrams."""
     rows, n = len(offsets) - 1, len(data)
     if n < 3:
         return np.zeros((rows, FEATURES), np.float32)
-    c = _LETTERS[data]
-    code = c[:-2] * np.uint64(0x9E3779B97F4A7C15) + c[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + c[2:] * np.uint64(0x165667B19E3779F9)
-    code = ((code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(52)).astype(np.int64)
+    code = _buckets(_LETTERS[data])
     doc = np.repeat(np.arange(rows), np.diff(offsets))
     within = doc[:-2] == doc[2:]
     counts = np.bincount((doc[:-2] * FEATURES + code)[within], minlength=rows * FEATURES).reshape(rows, FEATURES)
@@ -68,6 +83,13 @@ def features(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     return x / np.maximum(norm, 1e-9)
 
 
+def shares(x: np.ndarray) -> np.ndarray:
+    """From features, the share of each trigram in its document, separators apart; zeros where there is none."""
+    q = x * x
+    q[:, _BLANK] = 0
+    return q / np.maximum(q.sum(axis=1, keepdims=True), 1e-9)
+
+
 def has_letter(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     ascii_ = (_LETTERS[data] != 32) & (data < 0x80)
     sums = np.concatenate([[0], np.cumsum(ascii_)])
@@ -117,6 +139,31 @@ class Model:
             for a, b in combinations(self.languages[f], 2):
                 some = (lang == a) | (lang == b)
                 self.pairs[f, a, b] = self._fit(x[some], np.where(lang[some] == a, 1.0, -1.0).astype(np.float32))
+        # Fold by fold, so that no second copy of x is held.
+        names = sorted(set(langs))
+        counts = np.zeros((FIT_FOLDS, len(names), FEATURES))
+        for i in range(FIT_FOLDS):
+            q = shares(x[i::FIT_FOLDS])
+            for k, name in enumerate(names):
+                counts[i, k] = q[lang[i::FIT_FOLDS] == name].sum(axis=0)
+        whole = counts.sum(axis=0)
+        held = np.concatenate([self._suits(x[i::FIT_FOLDS], self._ratios(whole - counts[i])) for i in range(FIT_FOLDS)]) if names else np.zeros(0)
+        held = held[np.isfinite(held)]
+        self.ratios = self._ratios(whole)
+        reached = float(np.quantile(held, FIT_SHARE)) if len(held) else 0.0
+        self.least_fit = min(reached, reached / 2)
+
+    @staticmethod
+    def _ratios(counts: np.ndarray) -> np.ndarray:
+        """For each language, the logarithm of how much likelier each trigram is than by chance."""
+        seen = np.maximum(counts, 0) + FIT_PRIOR
+        return np.log(seen / seen.sum(axis=1, keepdims=True) * FEATURES).astype(np.float32)
+
+    @staticmethod
+    def _suits(x: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+        """The fit of each row to the language that suits it best; a row without trigrams fits none."""
+        q = shares(x)
+        return np.where(q.any(axis=1), (q @ ratios.T).max(axis=1), -np.inf)
 
     @staticmethod
     def _fit(x, y):
@@ -152,11 +199,22 @@ class Model:
         return out, score
 
     def label(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lang, score = self.predict(features(offsets, data))
+        return self._label(features(offsets, data), offsets, data)
+
+    def _label(self, x: np.ndarray, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lang, score = self.predict(x)
         none = ~has_letter(offsets, data)
         lang[none], score[none] = UND, 0.0
         return lang, np.clip(score, 0.0, 1.0)
 
+    def known(self, offsets: np.ndarray, data: np.ndarray, least: float) -> np.ndarray:
+        """Whether each text has a language, a score of ``least`` and the least fit."""
+        x = features(offsets, data)
+        lang, score = self._label(x, offsets, data)
+        good = (lang != UND) & (score >= least)
+        good[good] = self._suits(x[good], self.ratios) >= self.least_fit
+        return good
+
 
 def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """A model from a sample of the rows of docs that are not held out."""
@@ -188,7 +246,7 @@ def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str =
 
 
 def keep_known(docs: DataFrame, model: Model, *, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
-    """docs without those whose language cannot be told: no letters, or a score below ``least``.  Rows stay as they are."""
+    """docs without those whose language cannot be told: no letters, no trigram, a score below ``least``, or a fit to every learned language below what learning rows show.  Rows stay as they are."""
     model_of = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
@@ -198,8 +256,7 @@ def keep_known(docs: DataFrame, model: Model, *, text: str = "text", least: floa
             offsets, data = tb.string_parts(batch.column(at))
             good = np.zeros(batch.num_rows, dtype=bool)
             for a, b in tb.blocks(offsets):
-                lang, score = own.label(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
-                good[a:b] = (lang != UND) & (score >= least)
+                good[a:b] = own.known(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]], least)
             yield batch.filter(pa.array(good))
 
     return docs.mapInArrow(keep, docs.schema)
