@@ -265,6 +265,14 @@ def test_op7_longest_match_and_removal(spark):
     assert sorted(r["doc_id"] for r in decontaminate.remove_affected(docs, tests).collect()) == [2, 3]
 
 
+def test_op7_longest_match_of_every_copy(spark):
+    passage = " ".join(f"w{i}" for i in range(5, 25))
+    docs = spark.createDataFrame([(i, "x " * i + passage + " z") for i in range(6)], "doc_id long, text string").coalesce(1)
+    tests = spark.createDataFrame([("i", " ".join(f"w{i}" for i in range(30)))], "item_id string, text string")
+    got = decontaminate.find_matches(docs, tests)
+    assert sorted_rows(got, "row_key", "longest", "longest_item", "longest_at") == [(i, 20, "i", i) for i in range(6)]
+
+
 def test_op8_intervals(spark):
     log = spark.createDataFrame([("domain:b.c", "x", "add", 10), ("domain:b.c", "x", "remove", 20), ("domain:b.c", "x", "add", 20), ("host:a.b.c", "y", "add", 15), ("prefix:a.b.c/p", "z", "add", 5), ("domain:b.c", "x", "add", 30), (None, "x", "add", 1)], "entry string, category string, action string, at int")
     caps = spark.createDataFrame([(1, "http://A.b.c/q", 9), (2, "http://a.b.c./q", 10), (3, "http://u@a.b.c:8/p/q?x", 19), (4, "http://x.b.c", 20), (5, "http://b.c/", 30), (6, "http://xb.c/", 30), (7, None, 30), (8, "http://a.b.c/pp", 40)], "page_id long, url string, fetched int")

@@ -4,9 +4,11 @@ Method.  Each block of documents is a shard.  The shard's suffix array lists the
 places at which a suffix of some test item could match for at least a few words
 (their leading words occur in the test set; no other suffix can share that much
 with a test suffix), sorted word by word.  Every suffix of every test item is then
-binary-searched in every shard: its two neighbours give the longest verbatim match
-and its place, and the range of suffixes that share a whole window gives every
-occurrence.  Documents with a hit are affected and can be removed.
+binary-searched in every shard: the range of suffixes that share a whole window gives
+every occurrence.  Every suffix of the array is binary-searched among the sorted test
+suffixes: its two neighbours there give the longest verbatim match of each document and
+its place, whatever else is in the shard.  Documents with a hit are affected and can be
+removed.
 
 The shards need no shuffle.  The test set travels to the executors in blocks of at
 most ``MAX_TEST_BYTES`` of text, so what is broadcast has a bound whatever the size
@@ -14,7 +16,8 @@ of the test set; with several blocks each pass adds to what a row has, without a
 
 Defined cases: a null or empty text has no words and no hit; items without words are
 ignored; items with fewer words than a window are one window; repeated items count
-once for each item id; repeated documents are judged row by row; other columns are
+once for each item id; of a document's longest matches the first is told, with one of the
+items that have it; repeated documents are judged row by row; other columns are
 not read.
 """
 
@@ -52,14 +55,15 @@ class TestSet:
         last = np.repeat(words.first[1:], counts)
         at = np.arange(len(rank))
         left = last - at
-        self.item = words.doc
-        self.whole = np.minimum(counts, window)[words.doc] if len(at) else at
+        whole = np.minimum(counts, window)[words.doc] if len(at) else at
+        keys = suffix_keys(rank, at, np.minimum(left, self.depth), self.depth)
+        order = np.argsort(as_bytes(keys), kind="stable")
+        # All that follows is in the order of the suffixes.
+        self.keys, self.item, self.whole = keys[order], words.doc[order], whole[order]
         #: Only these begin a window; the others only lengthen the longest match.
-        self.opens = left >= self.whole
-        self.left = np.minimum(left, self.depth)
-        self.keys = suffix_keys(rank, at, self.left, self.depth)
+        self.opens = left[order] >= self.whole
         #: Leading words which an indexed suffix must share with some test suffix.
-        self.lead = int(min(3, self.whole.min())) if len(at) else 1
+        self.lead = int(min(3, whole.min())) if len(at) else 1
         starts = at[left >= self.lead]
         self.leads = lead_hashes(rank, starts, self.lead)
         self.bits = np.zeros(1 << _BITS, dtype=bool)
@@ -93,8 +97,21 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(same.all(axis=1), a.shape[1], np.argmin(same, axis=1))
 
 
-def match_block(offsets: np.ndarray, data: np.ndarray, tests: TestSet) -> Iterator[tuple]:
-    """A tuple of SCHEMA without the key for each document of a shard."""
+def longest_matches(array: np.ndarray, sorted_bytes: np.ndarray, place: np.ndarray, words: tb.Words, tests: TestSet) -> dict[int, tuple[int, int, int]]:
+    """For each document of a shard's array its first longest match: words, item and place."""
+    # The longest match of each suffix is with one of its two neighbours among the test suffixes.
+    where = np.searchsorted(as_bytes(tests.keys), sorted_bytes)
+    above, below = np.minimum(where, len(tests.keys) - 1), np.maximum(where - 1, 0)
+    up, down = common(array, tests.keys[above]), common(array, tests.keys[below])
+    with_, length = np.where(up >= down, above, below), np.maximum(up, down)
+    doc = words.doc[place]
+    order = np.lexsort((place, -length, doc))
+    order = order[np.diff(doc[order], prepend=-1) > 0]
+    return {d: (n, i, p) for d, n, i, p in zip(doc[order].tolist(), length[order].tolist(), tests.item[with_[order]].tolist(), (place - words.first[doc])[order].tolist())}
+
+
+def match_block(offsets: np.ndarray, data: np.ndarray, tests: TestSet, longest: bool = True) -> Iterator[tuple]:
+    """A tuple of SCHEMA without the key for each document of a shard; without ``longest``, the longest match is not looked for."""
     words = tb.words_of(offsets, data, tb.ALNUM_SPLIT)
     rows, n = len(offsets) - 1, len(words.hash)
     counts = np.diff(words.first)
@@ -123,14 +140,8 @@ def match_block(offsets: np.ndarray, data: np.ndarray, tests: TestSet) -> Iterat
         array, place = array[order], place[order]
         sorted_bytes = as_bytes(array)
         if len(place):
-            # The longest match of each test suffix is with one of its two neighbours in the array.
-            where = np.searchsorted(sorted_bytes, as_bytes(tests.keys))
-            for near in (np.minimum(where, len(place) - 1), np.maximum(where - 1, 0)):
-                shared = common(array[near], tests.keys)
-                for s in np.flatnonzero(shared >= tests.lead):
-                    d = int(words.doc[place[near[s]]])
-                    if shared[s] > best.get(d, (0,))[0]:
-                        best[d] = (int(shared[s]), int(tests.item[s]), int(place[near[s]] - words.first[d]))
+            if longest:
+                best = longest_matches(array, sorted_bytes, place, words, tests)
             # Those which share a whole window are next to each other.
             opens = np.flatnonzero(tests.opens)
             low = tests.keys[opens].copy()
@@ -241,7 +252,7 @@ def _remover(tests_of, at: int):
             offsets, data = tb.string_parts(batch.column(at))
             keep = np.ones(batch.num_rows, dtype=bool)
             for a, b in tb.blocks(offsets):
-                keep[a:b] = [not row[1] for row in match_block(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]], tests)]
+                keep[a:b] = [not row[1] for row in match_block(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]], tests, longest=False)]
             yield batch.filter(pa.array(keep))
 
     return clean
