@@ -273,6 +273,33 @@ def test_op7_longest_match_of_every_copy(spark):
     assert sorted_rows(got, "row_key", "longest", "longest_item", "longest_at") == [(i, 20, "i", i) for i in range(6)]
 
 
+def test_op7_longest_match_of_any_length():
+    import random
+
+    import pyarrow as pa
+
+    from weftline.llm import textblocks as tb
+
+    rng = random.Random(5)
+    some = [f"w{i}" for i in range(6)]
+    long_ = [rng.choice(some) for _ in range(500)]
+    items = [("a", long_[:90]), ("b", long_), ("c", [*long_[100:300], "y", *long_[:20]]), ("d", ["r"] * 150), ("e", ["s", "t", "u", "v", *["q"] * 9])]
+    docs = [["p", *long_, "p"], long_[100:310], ["r"] * 200, [*long_[20:140], "zz", *long_[140:205]], ["zz", "s", "t", "zz"], ["zz", "t", "s"], ["zz"], [], [*long_[:70], *long_[50:130]], [rng.choice(some) for _ in range(300)]]
+    tests = decontaminate.TestSet([(i, " ".join(w)) for i, w in items])
+    offsets, data = tb.string_parts(pa.array([" ".join(d) for d in docs], pa.large_string()))
+    texts = {i: " " + " ".join(w) + " " for i, w in items}
+    for doc, row in zip(docs, decontaminate.match_block(offsets, data, tests)):
+        length, item, at = row[4:]
+        is_in = lambda k, n: [i for i, t in texts.items() if " " + " ".join(doc[k : k + n]) + " " in t]
+        assert not any(is_in(k, length + 1) for k in range(len(doc) - length)), (doc[:5], length)
+        if length:
+            assert item in is_in(at, length) and at == next(k for k in range(len(doc)) if is_in(k, length) and k + length <= len(doc))
+        else:
+            assert item is None and at is None
+    got = [r[4] for r in decontaminate.match_block(offsets, data, tests)]
+    assert got[:8] == [500, 210, 150, 120, 2, 1, 0, 0]
+
+
 def test_op8_intervals(spark):
     log = spark.createDataFrame([("domain:b.c", "x", "add", 10), ("domain:b.c", "x", "remove", 20), ("domain:b.c", "x", "add", 20), ("host:a.b.c", "y", "add", 15), ("prefix:a.b.c/p", "z", "add", 5), ("domain:b.c", "x", "add", 30), (None, "x", "add", 1)], "entry string, category string, action string, at int")
     caps = spark.createDataFrame([(1, "http://A.b.c/q", 9), (2, "http://a.b.c./q", 10), (3, "http://u@a.b.c:8/p/q?x", 19), (4, "http://x.b.c", 20), (5, "http://b.c/", 30), (6, "http://xb.c/", 30), (7, None, 30), (8, "http://a.b.c/pp", 40)], "page_id long, url string, fetched int")

@@ -7,8 +7,9 @@ with a test suffix), sorted word by word.  Every suffix of every test item is th
 binary-searched in every shard: the range of suffixes that share a whole window gives
 every occurrence.  Every suffix of the array is binary-searched among the sorted test
 suffixes: its two neighbours there give the longest verbatim match of each document and
-its place, whatever else is in the shard.  Documents with a hit are affected and can be
-removed.
+its place, whatever else is in the shard.  Matches of more than ``DEPTH`` words are followed
+to their end by prefix hashes, and matches too short for the array are looked up as words
+and pairs.  Documents with a hit are affected and can be removed.
 
 The shards need no shuffle.  The test set travels to the executors in blocks of at
 most ``MAX_TEST_BYTES`` of text, so what is broadcast has a bound whatever the size
@@ -33,10 +34,12 @@ from pyspark.sql import functions as F
 from weftline.llm import textblocks as tb
 
 WINDOW = 10
-#: Suffixes are compared for so many words; longer matches are reported as this long and more.
+#: Suffixes are compared word by word for so many words, and by hashes beyond.
 DEPTH = 64
 MAX_TEST_BYTES = 32 << 20
 _BITS = 20
+_FACTOR = 0x9E3779B97F4A7C15
+_INVERSE = pow(_FACTOR, -1, 2**64)
 
 SCHEMA = "row_key long, n_words long, hit_from array<int>, hit_to array<int>, items array<string>, longest int, longest_item string, longest_at int"
 
@@ -57,11 +60,13 @@ class TestSet:
         left = last - at
         whole = np.minimum(counts, window)[words.doc] if len(at) else at
         keys = suffix_keys(rank, at, np.minimum(left, self.depth), self.depth)
-        order = np.argsort(as_bytes(keys), kind="stable")
+        order = suffix_order(keys, rank, at, left)
         # All that follows is in the order of the suffixes.
         self.keys, self.item, self.whole = keys[order], words.doc[order], whole[order]
         #: Only these begin a window; the others only lengthen the longest match.
         self.opens = left[order] >= self.whole
+        self.rank, self.at, self.left = rank, at[order], left[order]
+        self.sums = prefix_sums(rank) if len(left) and left.max() > self.depth else None
         #: Leading words which an indexed suffix must share with some test suffix.
         self.lead = int(min(3, whole.min())) if len(at) else 1
         starts = at[left >= self.lead]
@@ -69,6 +74,72 @@ class TestSet:
         self.bits = np.zeros(1 << _BITS, dtype=bool)
         self.bits[(self.leads >> np.uint64(64 - _BITS)).astype(np.int64)] = True
         self.leads = np.unique(self.leads)
+        #: For each length below that, the codes of all runs of words and a suffix that begins with each.
+        self.short = {}
+        for size in range(1, self.lead):
+            some = np.flatnonzero(self.left >= size)
+            codes, first = np.unique(self.code(rank, self.at[some], size), return_index=True)
+            self.short[size] = codes, some[first]
+
+    def code(self, rank: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+        """One number for one or two words."""
+        return rank[at] if size == 1 else rank[at] * (len(self.vocabulary) + 1) + rank[at + 1]
+
+
+def suffix_order(keys: np.ndarray, rank: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The order of whole suffixes: by their keys, then by doubling the words that count until none are left."""
+    sorted_bytes = as_bytes(keys)
+    order, width = np.argsort(sorted_bytes, kind="stable"), keys.shape[1]
+    if not len(left) or left.max() <= width:
+        return order
+    sorted_bytes = sorted_bytes[order]
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(np.concatenate([[True], sorted_bytes[1:] != sorted_bytes[:-1]]))
+    while width < left.max():
+        on = np.where(left > width, group[np.minimum(at + width, len(at) - 1)], 0)
+        order = np.lexsort((on, group))
+        g, o = group[order], on[order]
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(np.concatenate([[True], (g[1:] != g[:-1]) | (o[1:] != o[:-1])]))
+        width *= 2
+    return order
+
+
+def prefix_sums(rank: np.ndarray) -> np.ndarray:
+    """Sums from which run_hashes takes the hash of any run of words."""
+    sums = np.zeros(len(rank) + 1, dtype=np.uint64)
+    np.cumsum(tb.mix(rank.astype(np.uint64)) * tb.powers(_INVERSE, len(rank)), out=sums[1:])
+    return sums
+
+
+def run_hashes(sums: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return (sums[at + size] - sums[at]) * tb.powers(_FACTOR, len(sums))[at]
+
+
+def long_matches(rank: np.ndarray, place: np.ndarray, left: np.ndarray, tests: TestSet) -> tuple[np.ndarray, np.ndarray]:
+    """The longest match of suffixes of any length (``left`` words) of a shard, and a test suffix that has it: a binary search over whole test suffixes, each comparison a binary search over the words in common."""
+    sums = prefix_sums(rank)
+    own, other = np.append(rank, 0), np.append(tests.rank, 0)
+
+    def shared(s: np.ndarray) -> np.ndarray:
+        low, high = np.zeros(len(place), np.int64), np.minimum(left, tests.left[s])
+        while (low < high).any():
+            middle = (low + high + 1) // 2
+            same = run_hashes(sums, place, middle) == run_hashes(tests.sums, tests.at[s], middle)
+            low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+        return low
+
+    low, high = np.zeros(len(place), np.int64), np.full(len(place), len(tests.at))
+    while (low < high).any():
+        middle = np.minimum((low + high) // 2, len(tests.at) - 1)
+        n = shared(middle)
+        next_own = np.where(n < left, own[place + n], 0)
+        next_other = np.where(n < tests.left[middle], other[tests.at[middle] + n], 0)
+        after = (low < high) & (next_other < next_own)
+        low, high = np.where(after, middle + 1, low), np.where(after | (low >= high), high, middle)
+    above, below = np.minimum(low, len(tests.at) - 1), np.maximum(low - 1, 0)
+    up, down = shared(above), shared(below)
+    return np.maximum(up, down), np.where(up >= down, above, below)
 
 
 def lead_hashes(rank: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
@@ -97,13 +168,35 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(same.all(axis=1), a.shape[1], np.argmin(same, axis=1))
 
 
-def longest_matches(array: np.ndarray, sorted_bytes: np.ndarray, place: np.ndarray, words: tb.Words, tests: TestSet) -> dict[int, tuple[int, int, int]]:
-    """For each document of a shard's array its first longest match: words, item and place."""
+def longest_matches(array: np.ndarray, sorted_bytes: np.ndarray, place: np.ndarray, rank: np.ndarray, words: tb.Words, tests: TestSet) -> dict[int, tuple[int, int, int]]:
+    """For each document of a shard with any word of the test set its first longest match: words, item and place."""
     # The longest match of each suffix is with one of its two neighbours among the test suffixes.
     where = np.searchsorted(as_bytes(tests.keys), sorted_bytes)
     above, below = np.minimum(where, len(tests.keys) - 1), np.maximum(where - 1, 0)
     up, down = common(array, tests.keys[above]), common(array, tests.keys[below])
     with_, length = np.where(up >= down, above, below), np.maximum(up, down)
+    if tests.sums is not None and (full := np.flatnonzero(length == tests.depth)).size:
+        # An unknown word or the document's end ends a suffix.
+        ends = np.union1d(np.flatnonzero(rank == 0), words.first[1:])
+        left = ends[np.searchsorted(ends, place[full], "right")] - place[full]
+        length[full], with_[full] = long_matches(rank, place[full], left, tests)
+    best = first_longest(place, length, with_, words, tests)
+    for size in range(tests.lead - 1, 0, -1):
+        # What the array leaves out is shorter than a lead.
+        open_ = np.ones(len(words.first) - 1, dtype=bool)
+        open_[list(best)] = False
+        at = np.flatnonzero((rank > 0) & open_[words.doc])
+        if size > 1:
+            at = at[(at + 1 < words.first[words.doc[at] + 1]) & (np.append(rank, 0)[at + 1] > 0)]
+        codes, first = tests.short[size]
+        code = tests.code(rank, at, size)
+        found = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+        same = codes[found] == code
+        best |= first_longest(at[same], np.full(int(same.sum()), size), first[found[same]], words, tests)
+    return best
+
+
+def first_longest(place: np.ndarray, length: np.ndarray, with_: np.ndarray, words: tb.Words, tests: TestSet) -> dict[int, tuple[int, int, int]]:
     doc = words.doc[place]
     order = np.lexsort((place, -length, doc))
     order = order[np.diff(doc[order], prepend=-1) > 0]
@@ -139,9 +232,9 @@ def match_block(offsets: np.ndarray, data: np.ndarray, tests: TestSet, longest:
         order = np.argsort(as_bytes(array), kind="stable")
         array, place = array[order], place[order]
         sorted_bytes = as_bytes(array)
+        if longest:
+            best = longest_matches(array, sorted_bytes, place, rank, words, tests)
         if len(place):
-            if longest:
-                best = longest_matches(array, sorted_bytes, place, words, tests)
             # Those which share a whole window are next to each other.
             opens = np.flatnonzero(tests.opens)
             low = tests.keys[opens].copy()
