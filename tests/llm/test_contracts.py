@@ -273,6 +273,15 @@ def test_op7_longest_match_of_every_copy(spark):
     assert sorted_rows(got, "row_key", "longest", "longest_item", "longest_at") == [(i, 20, "i", i) for i in range(6)]
 
 
+def test_op7_items_without_an_id(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a x c d"), (3, "q w e")], "doc_id long, text string")
+    tests = spark.createDataFrame([(None, "b c"), (7, "q w e")], "item_id long, text string")
+    for limit in (1, 1 << 20):
+        got = sorted_rows(decontaminate.find_matches(docs, tests, limit=limit), "row_key", "hit_from", "hit_to", "items")
+        assert got == [(1, [1], [3], []), (2, [], [], []), (3, [0], [3], ["7"])]
+    assert [r["doc_id"] for r in decontaminate.remove_affected(docs, tests).collect()] == [2]
+
+
 def test_op7_longest_match_of_any_length():
     import random
 

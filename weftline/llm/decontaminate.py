@@ -16,7 +16,8 @@ most ``MAX_TEST_BYTES`` of text, so what is broadcast has a bound whatever the s
 of the test set; with several blocks each pass adds to what a row has, without a shuffle.
 
 Defined cases: a null or empty text has no words and no hit; items without words are
-ignored; items with fewer words than a window are one window; repeated items count
+ignored; items with a null id are searched like others, and only the list of ids leaves
+them out (the registered digest passes over such items); items with fewer words than a window are one window; repeated items count
 once for each item id; of a document's longest matches the first is told, with one of the
 items that have it; repeated documents are judged row by row; other columns are
 not read.
@@ -257,7 +258,7 @@ def match_block(offsets: np.ndarray, data: np.ndarray, tests: TestSet, longest:
             else:
                 spans.append([a - base, b - base])
         length, item, place_ = best.get(d, (0, -1, 0))
-        yield int(counts[d]), [a for a, _ in spans], [b for _, b in spans], sorted({tests.ids[i] for _, _, i in own}), length, tests.ids[item] if length else None, place_ if length else None
+        yield int(counts[d]), [a for a, _ in spans], [b for _, b in spans], sorted({tests.ids[i] for _, _, i in own} - {None}), length, tests.ids[item] if length else None, place_ if length else None
 
 
 _TYPES = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32(), pa.string(), pa.int32()]
@@ -298,7 +299,7 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int)
     """The test set in blocks of a bounded size; it is streamed, one block is held at a time."""
     block: list[tuple[str, str]] = []
     size = 0
-    rows = benchmark.where(F.col(text_col).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("string"), F.col(text_col))
+    rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).cast("string"), F.col(text_col))
     for item, text in rows.toLocalIterator():
         if block and size + len(text) > limit:
             yield block
@@ -353,7 +354,7 @@ def _remover(tests_of, at: int):
 
 def contract(spark, sf_dir: str) -> DataFrame:
     """The digest of op7 for every document."""
-    found = find_matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = find_matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("item_id IS NOT NULL"))
     return found.select(
         F.col("row_key").alias("doc_id"),
         "n_words",
