@@ -318,6 +318,14 @@ def test_op8_intervals(spark):
     assert urlfilter.keep_unlisted(caps, log.limit(0)).count() == 8
 
 
+def test_op8_deep_entries(spark):
+    path, host = "/".join(f"p{i}" for i in range(30)), ".".join(f"h{i}" for i in range(12))
+    log = spark.createDataFrame([(f"prefix:a.b/{path}", "x", "add", 1), (f"prefix:a.b/{path[:26]}", "x", "add", 5), (f"domain:{host}", "y", "add", 1)], "entry string, category string, action string, at int")
+    caps = spark.createDataFrame([(1, f"http://a.b/{path}/q?x", 3), (2, f"http://a.b//{path}", 5), (3, f"http://a.b/{path[:-1]}", 3), (4, f"http://z.{host}/", 3), (5, f"http://{host[1:]}/", 3)], "page_id long, url string, fetched int")
+    assert sorted_rows(urlfilter.match(caps, log), "page_id", "entry") == [(1, f"prefix:a.b/{path}"), (2, f"prefix:a.b/{path[:26]}"), (2, f"prefix:a.b/{path}"), (4, f"domain:{host}")]
+    assert [r[0] for r in urlfilter.keep_unlisted(caps, log).orderBy("page_id").collect()] == [3, 5]
+
+
 @pytest.mark.parametrize("folder", [SF, "odd"])
 def test_op9(spark, odd, folder):
     import public_tokenizers

@@ -6,7 +6,8 @@ become validity intervals, [date, date of the key's next entry).  A capture is e
 against the list as it was when it was fetched: its host, the domains above it and the
 prefixes of its path are keys, and the as-of join takes the one interval of a key that
 holds the fetch time.  Intervals of a key do not overlap, so a key gives a capture one
-match at most, and a capture of bounded depth has a bounded number of keys.
+match at most.  A URL has a key for each label of its host and each segment of its path,
+so an entry of any depth is found.
 
 The join is an equality on the key with a condition on time: a host with a third of all
 captures is on the large side only, which the skew rule splits; the list's side is sent
@@ -23,8 +24,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Domains above a host and prefixes of a path that are looked up; deeper ones cannot be listed (an entry deeper than this is refused).
-DEPTH = 8
 DEMO_DAYS = 400
 
 
@@ -41,9 +40,9 @@ def keys_of(url: Column) -> Column:
     """All keys under which a URL may be listed: host:h, domain:d for h and each domain above it, prefix:h/a, prefix:h/a/b and so on."""
     host = host_of(url)
     labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(DEPTH))), lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, -i, i), ".")))
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, -i, i), ".")))
     parts = F.filter(F.split(path_of(url), "/"), lambda p: p != "")
-    prefixes = F.when(F.size(parts) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.size(parts), F.lit(DEPTH)), F.lit(1))), lambda i: F.concat(F.lit("prefix:"), host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/"))))
+    prefixes = F.when(F.size(parts) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.concat(F.lit("prefix:"), host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/"))))
     return F.when(host != "", F.concat(F.array(F.concat(F.lit("host:"), host)), domains, prefixes)).otherwise(F.array().cast("array<string>"))
 
 
