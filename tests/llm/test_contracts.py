@@ -172,6 +172,12 @@ def test_op4_sketches_merge(spark):
     assert abs(pair["c"] - 0.5) < 0.2 and abs(pair["r"] - 1 / 3) < 0.15
 
 
+def test_op4_empty_parts_merge(spark):
+    df = spark.createDataFrame([("a", None), ("a", "  "), ("b", ""), ("b", "one two"), (None, "")], "k string, t string").select("k", fingerprint.sketch(F.col("t")).alias("s"))
+    got = {r["k"]: r["s"] for r in fingerprint.merge_parts(df.union(spark.createDataFrame([("b", None), ("n", None)], "k string, s array<long>")), ["k"], "s").collect()}
+    assert got["a"] == got["n"] == got[None] == [] and len(got["b"]) == 1 and len(got) == 4
+
+
 def test_op5(spark, odd):
     got = language.contract(spark, "/root/testdata/sf0.01")
     truth = {r[0]: r[1] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect()}

@@ -80,9 +80,9 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
 
 
 def merge_parts(df: DataFrame, keys: list[str], column: str, k: int = K) -> DataFrame:
-    """One sketch for each key of many parts, in two steps so that no list of a hot key grows with its rows: hash ranges of a key are cut to k before they meet."""
-    salted = df.select(*keys, F.explode(column).alias("h")).distinct().withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(64)))
-    rank = F.row_number().over(Window.partitionBy(*keys, "salt").orderBy("h"))
+    """One sketch for each key of many parts, in two steps so that no list of a hot key grows with its rows: hash ranges of a key are cut to k before they meet.  A key whose parts are all empty (or null) keeps an empty sketch."""
+    salted = df.select(*keys, F.explode_outer(column).alias("h")).distinct().withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(64)))
+    rank = F.row_number().over(Window.partitionBy(*keys, "salt").orderBy(F.asc_nulls_last("h")))
     return salted.withColumn("r", rank).where(F.col("r") <= k).groupBy(*keys).agg(smallest(F.collect_list("h"), k).alias(column))
 
 
