@@ -168,3 +168,12 @@ def test_rendering_and_cap():
     text = render.impact_tree("c", risk, summary)
     assert "│ ▲ 0.9    s [f] ⚠ TEST" in text and "  ▲ 0.1    t\n" in text and "1 high, 0 medium, 1 low, 1 test(s)" in text
     assert "ROOT -.-> R1" in render.mermaid_impact("c", risk, summary)
+
+
+def test_long_comments_are_whole():
+    rows = [f"line {i} of the comment" for i in range(300)]
+    block = "/* other */\nlet x = 1; // no\n/**\n" + "\n".join(rows) + "\n*/\nfunction f() {}\n"
+    lines = "x()\n" + "\n".join(f"// {r}" for r in rows) + "\nfunction f() {}\n"
+    for source, shown in ((block, "\n".join(rows)), (lines, "\n// ".join(rows)), ("// one\nfunction f() {}\n", "one"), ("x() // no\nfunction f() {}\n", None), ("function f() {}\n", None)):
+        nodes, _ = textcode.parse(source.encode(), "m", "m.js", "javascript")
+        assert nodes[0]["id"] == "m.f" and nodes[0]["docstring"] == shown

@@ -47,10 +47,17 @@ _ASSIGN = {"javascript": r"\bthis\.([\w$]+)\s*(?:[-+*/%]|\|\||&&|\?\?)?=(?![=>])
 _ASSIGN["typescript"] = _ASSIGN["javascript"]
 
 
+_TOKEN = re.compile(r"""//[^\n]*|/\*[\s\S]*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""")
+
+
 def masked(text: str) -> str:
     """text with the insides of strings and comments blanked, of the same length."""
-    blank = lambda m: re.sub(r"[^\n]", " ", m[0])
-    return re.sub(r"""//[^\n]*|/\*[\s\S]*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", blank, text)
+    return _TOKEN.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+
+
+def block_comments(text: str) -> dict[int, int]:
+    """Where each block comment begins, by its end."""
+    return {m.end(): m.start() for m in _TOKEN.finditer(text) if m[0].startswith("/*")}
 
 
 def block_end(text: str, at: int) -> int:
@@ -67,11 +74,15 @@ def block_end(text: str, at: int) -> int:
     return len(text)
 
 
-def comment_before(text: str, at: int) -> str | None:
-    """The comment that ends on the line before ``at``."""
+def comment_before(text: str, at: int, blocks: dict[int, int]) -> str | None:
+    """The whole comment that ends on the line before ``at``: a block comment, or all lines of comments."""
     head = text[: text.rfind("\n", 0, at) + 1].rstrip()
-    m = re.search(r"/\*[\s\S]*?\*/$|(?:(?:^|\n)[ \t]*//[^\n]*)+$", head[-2000:])
-    return m[0].strip("/* \n") if m else None
+    begin = end = len(head)
+    if end in blocks:
+        return head[blocks[end] :].strip("/* \n")
+    while begin > 0 and head[(line := head.rfind("\n", 0, begin) + 1) : begin].lstrip(" \t").startswith("//"):
+        begin = max(line - 1, 0)
+    return head[begin:].strip("/* \n") if begin < end else None
 
 
 def effect_of(call: str, language: str) -> str | None:
@@ -85,7 +96,7 @@ def effect_of(call: str, language: str) -> str | None:
 def parse(content: bytes, module: str, file: str, language: str) -> tuple[list[dict], list[dict]]:
     """(nodes, edges) of a file."""
     text = content.decode("utf-8", errors="replace")
-    plain = masked(text)
+    plain, blocks = masked(text), block_comments(text)
     declared = _DECLARED[language]
     base = file.rpartition("/")[2]
     is_test = int(any(p in base for p in TEST_NAMES[language]))
@@ -108,7 +119,7 @@ def parse(content: bytes, module: str, file: str, language: str) -> tuple[list[d
         nodes.append(
             {
                 "id": id_, "kind": kind, "module": module, "file": file, "line_start": line(begin), "line_end": line(end - 1), "signature": shown,
-                "docstring": comment_before(text, begin + 1), "is_public": int(not name.startswith("_")), "is_test": is_test, "body_hash": hashlib.sha256(body.encode()).hexdigest(),
+                "docstring": comment_before(text, begin + 1, blocks), "is_public": int(not name.startswith("_")), "is_test": is_test, "body_hash": hashlib.sha256(body.encode()).hexdigest(),
             }
         )
 
