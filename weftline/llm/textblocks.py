@@ -7,7 +7,6 @@ bytes, so nothing here works row by row and nothing is cut to a prefix.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +23,10 @@ FOLD[65:91] += 32
 FOLDED_VALUES = BYTE_VALUES[FOLD]
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 2**64)
+#: Primes and bases of two more polynomials: modulo 2**64 alone, some pairs of long words (Thue-Morse sequences) are equal for any base.
+PRIMES = ((2**31 - 1, 1_103_515_245), (2**31 - 19, 1_812_433_253))
+#: Runs of so many values below 2**9 sum up exactly in 64 bits before the remainder is taken.
+_EXACT_RUN = 1 << 23
 
 #: Byte classes: everything but ASCII white space; and ASCII digits, letters and all of UTF-8 beyond ASCII.
 SPACE_SPLIT = np.ones(256, dtype=bool)
@@ -31,7 +34,7 @@ SPACE_SPLIT[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 ALNUM_SPLIT = np.zeros(256, dtype=bool)
 ALNUM_SPLIT[0x30:0x3A] = ALNUM_SPLIT[0x41:0x5B] = ALNUM_SPLIT[0x61:0x7B] = ALNUM_SPLIT[0x80:] = True
 
-_powers: dict[int, np.ndarray] = {}
+_powers: dict = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -44,6 +47,37 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def prime_powers(base: int, prime: int, n: int) -> np.ndarray:
+    """base ** 0 .. n-1 modulo a prime below 2**31."""
+    have = _powers.get((base, prime))
+    if have is None or len(have) < n:
+        size = max(n, BLOCK_BYTES + 1)
+        have = np.ones(size, dtype=np.uint64)
+        done = 1
+        while done < size:
+            step = np.uint64(pow(base, done, prime))
+            have[done : 2 * done] = have[: min(done, size - done)] * step % np.uint64(prime)
+            done *= 2
+        _powers[base, prime] = have
+    return have[:n]
+
+
+def run_sums(values: np.ndarray, prime: int, base: int, longest: int) -> np.ndarray:
+    """Prefix sums from which ``run_hash`` takes the polynomial of any run of at most ``longest`` values (below 2**9, or else reduced) modulo a prime."""
+    inverse = pow(base, -1, prime)
+    terms = values * prime_powers(inverse, prime, len(values))
+    if longest > _EXACT_RUN:
+        terms %= np.uint64(prime)
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(terms, out=sums[1:])
+    return sums
+
+
+def run_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, prime: int, base: int) -> np.ndarray:
+    """The polynomial modulo the prime of values start to end, wherever the run stands."""
+    return (sums[end] - sums[start]) % np.uint64(prime) * prime_powers(base, prime, len(sums))[start] % np.uint64(prime)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser, so that low and high bits of a hash are alike."""
     x = x ^ (x >> np.uint64(30))
@@ -82,13 +116,13 @@ def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], data[offsets[0] : offsets[-1]]
 
 
-def blocks(offsets: np.ndarray, size: int | None = None) -> Iterator[tuple[int, int]]:
-    """Row ranges of whole documents of about ``size`` bytes."""
+def blocks(offsets: np.ndarray, size: int | None = None, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Row ranges of whole documents of about ``size`` bytes, and of ``rows`` documents at most."""
     size = size or BLOCK_BYTES
     at, n = 0, len(offsets) - 1
     while at < n:
         to = int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1
-        to = min(n, max(at + 1, to))
+        to = min(n, max(at + 1, to), at + (rows or n))
         yield at, to
         at = to
 
@@ -111,7 +145,12 @@ def words_of(offsets: np.ndarray, data: np.ndarray, is_word: np.ndarray, fold: b
     end = np.flatnonzero(finish) + 1
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((FOLDED_VALUES if fold else BYTE_VALUES)[data] * powers(_BASE_INV, n), out=sums[1:])
-    hashed = mix((sums[end] - sums[start]) * powers(_BASE, n)[start] + (end - start).astype(np.uint64))
+    hashed = (sums[end] - sums[start]) * powers(_BASE, n)[start] + (end - start).astype(np.uint64)
+    values = (FOLD if fold else np.arange(256, dtype=np.uint8))[data].astype(np.uint64) + np.uint64(1)
+    longest = int((end - start).max()) if len(start) else 0
+    for prime, base in PRIMES:
+        hashed = mix(hashed) + run_hash(run_sums(values, prime, base, longest), start, end, prime, base)
+    hashed = mix(hashed)
     first = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(rows), np.diff(first))
     return Words(start, end, doc, first, hashed)
@@ -136,7 +175,3 @@ def shingles_of(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
         total += np.where(size > j, part, np.uint64(0)) if short else part
     return mix(total + size.astype(np.uint64)), first
 
-
-def single_thread() -> None:
-    """Spark runs one Python worker for each core already."""
-    os.environ.setdefault("OMP_NUM_THREADS", "1")
