@@ -3,7 +3,8 @@
 Method.  Base patterns (e-mail address, IP address, payment card, telephone number with
 country code) give base spans, which always stay.  High-recall generators propose further
 candidate spans, which may overlap each other and failed base matches: digit groups inside
-longer digit runs, national telephone numbers, spelled-out e-mail addresses.  Features of a
+longer digit runs, national telephone numbers, spelled-out e-mail addresses, and long
+strings of letters and digits that may be keys or tokens.  Features of a
 candidate's format (digits, separators, checksum, leading digit) and context (words before
 it, characters beside it) go into boosted trees, whose calibrated probability must reach the
 kind's threshold; of overlapping candidates the likeliest wins, and none may overlap a base
@@ -16,8 +17,9 @@ use the same feature expressions, and the trained model is an expression of nest
 every document is handled inside the JVM, whole, without a shuffle.
 
 Defined cases: a null text is empty, has no spans and stays null when redacted; repeated
-rows are handled alike; columns of any name may stand beside the text; overlapping base spans of different kinds all stay and are redacted
-as one; other columns stay as they are.
+rows are handled alike; columns of any name may stand beside the text; overlapping base
+spans of different kinds all stay and are redacted as one; runs of digits of any length are
+one match (no pattern recurses for each character); other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -31,10 +33,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-#: Fixed patterns of the base spans, in the order of KINDS.  The first two are written so that a failed match is not tried again from each character of the same run; they match the same spans; of runs of digits only those of 14 and more are matched, since the others never count.
+#: Kinds of added spans: those of the base, and secrets, which have no base pattern.
+ALL_KINDS = (*KINDS, "secret")
+#: Fixed patterns of the base spans, in the order of KINDS.  The first two are written so that a failed match is not tried again from each character of the same run; they match the same spans; of runs of digits only those of 14 and more are matched, since the others never count, and possessively: a loop that may give back would recurse for each digit.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"[0-9](?:[\x20-]?[0-9]){13,}"
+CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Generators of further candidates: kind and pattern.  Where candidates may overlap, a match takes in only the first group, and the lookahead's group 1 has the rest, so that the next group may begin a candidate too.
 PROPOSED = (
@@ -43,11 +47,13 @@ PROPOSED = (
     ("phone", r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
     ("phone", r"(?<![0-9])0[0-9]{2,4}(?=([\x20/-][0-9]{5,8})(?![0-9]))"),
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?=(\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[(\[]dot[)\]]|\.)\x20?[A-Za-z0-9-]{1,63}){1,4})(?![A-Za-z0-9-]))"),
+    ("secret", r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])(?=[0-9_+/-]*[A-Za-z])[A-Za-z0-9_+/-]{16,128}(?![A-Za-z0-9_+/=-])"),
 )
 CONTEXT = {
     "email": r"(?i)(mail|contact|write|kontakt|correo|courriel)",
     "card": r"(?i)(card|visa|credit|karte|carte|tarjeta|payment|zahlung)",
     "phone": r"(?i)(phone|tel|call|mobile|cell|fax|anruf|handy|appel|llam)",
+    "secret": r"(?i)(token|secret|key|passw|pwd|credential|bearer|auth)[\w\x20\"':=-]{0,12}$",
 }
 CONTEXT_CHARS = 40
 FEATURES = ("kind", "digits", "length", "separators", "luhn", "first", "context", "before", "after", "in_run")
@@ -138,7 +144,7 @@ def candidates(text: Column) -> Column:
             near = F.concat(F.substring(text, F.greatest(s["start"] - 5, F.lit(1)), F.least(s["start"], F.lit(6))), F.lit("|"), F.substring(text, s["end"] + 1, F.lit(6)))
             return F.struct(
                 s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind_name"),
-                F.lit(KINDS.index(kind)).alias("kind"),
+                F.lit(ALL_KINDS.index(kind)).alias("kind"),
                 F.char_length(d).alias("digits"),
                 (s["end"] - s["start"]).alias("length"),
                 (s["end"] - s["start"] - F.char_length(F.regexp_replace(s["value"], "[^A-Za-z0-9]", ""))).alias("separators"),
@@ -187,7 +193,7 @@ def labelled_templates(n: int = TEMPLATES, seed: int = 29) -> list[tuple[str, in
     num = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     out = []
     for _ in range(n):
-        kind, yes = rng.choice(["card", "card", "phone", "local", "email"]), rng.random() < 0.5
+        kind, yes = rng.choice(["card", "card", "phone", "local", "email", "secret"]), rng.random() < 0.5
         lead, tail = words(rng.randint(0, 6)), words(rng.randint(0, 4))
         if kind == "card":
             # Valid numbers alone, after a hint or beside another number or group of digits are cards; checksum failures, parts of codes and order numbers are not.
@@ -207,6 +213,13 @@ def labelled_templates(n: int = TEMPLATES, seed: int = 29) -> list[tuple[str, in
             value = f"0{num(rng.randint(2, 4))}{rng.choice(' /-')}{num(rng.randint(5, 8))}"
             hint = rng.choice(["tel ", "phone ", "fax: ", "handy "]) if yes else rng.choice(["", "art. ", "order ", "x"])
             after = rng.choice([" ", ". "])
+        elif kind == "secret":
+            # A key or token follows a name for one, mostly with a sign of assignment; digests, identifiers and made-up words stand elsewhere.
+            letters = rng.choice(["0123456789abcdef", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"])
+            value = "a1" + "".join(rng.choice(letters) for _ in range(rng.choice([18, 22, 30, 38, 38, 62]))) if yes or rng.random() < 0.6 else f"{word()}{word()}{word()}{num(2)}{word()}{word()}{word()}{word()}"
+            name = rng.choice(["token", "api_key", "secret", "password", "access_key", "auth", "client_secret"])
+            hint = name + rng.choice([' = "', '="', ": ", " = ", "='", ' "']) if yes else rng.choice(["", "commit ", "id ", "sha256:", "/", "file ", "md5 ", '"'])
+            after = rng.choice(['"', '" ', " ", "; "]) if yes else rng.choice([" ", ". ", "/", " ", '"'])
         else:
             value = f"{word()}{rng.choice(['', '.', '_'])}{word()}{rng.choice([' ', ''])}{rng.choice(['(at)', '[at]'])}{rng.choice([' ', ''])}{word()}{rng.choice(['.', ' (dot) ', '[dot]'])}{rng.choice(['com', 'de', 'org'] if yes else ['1', '22', word() + word()])}"
             hint = rng.choice(["mail ", "contact ", "", "write to "]) if yes else rng.choice(["", "see ", "x"])
@@ -255,7 +268,7 @@ class Model:
         self.slope, self.offset = min(grid, key=lambda ab: np.logaddexp(0, -(2 * t - 1) * (ab[0] * m + ab[1])).sum())
         p = 1 / (1 + np.exp(-(self.slope * m + self.offset)))
         self.threshold = {}
-        for i, kind in enumerate(KINDS):
+        for i, kind in enumerate(ALL_KINDS):
             own = x[~fit, 0] == i
             good = [c for c in np.linspace(0.5, 0.99, 50) if (chosen := own & (p >= c)).any() and t[chosen].mean() >= PRECISION]
             self.threshold[kind] = round(float(min(good)), 4) if good else 1.01
@@ -300,7 +313,7 @@ def train(spark: SparkSession) -> Model:
 
 def added_spans(text: Column, base: Column, model: Model) -> Column:
     """Candidates that reach their threshold, overlap no base span and no likelier candidate, as (start, rank, kind, end)."""
-    limit = lambda c: F.coalesce(*(F.when(c["kind"] == KINDS.index(k), F.lit(v)) for k, v in model.threshold.items()))
+    limit = lambda c: F.coalesce(*(F.when(c["kind"] == ALL_KINDS.index(k), F.lit(v)) for k, v in model.threshold.items()))
     scored = F.transform(candidates(text), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("rank"), c["kind_name"].alias("kind"), c["end"].alias("end"), model.probability(c).alias("p"), limit(c).alias("limit")))
     free = F.filter(scored, lambda c: (c["p"] >= c["limit"]) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     # From the likeliest down, each that is still free.
@@ -322,7 +335,7 @@ def with_spans(docs: DataFrame, model: Model, *, text: str = "text", base: str =
     body = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumn(base, base_spans(body))
     none = F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int>>)")
-    return out.withColumn(added, F.when(body.rlike(r"[0-9]{4}|[(\[]at[)\]]"), added_spans(body, F.col(base), model)).otherwise(none))
+    return out.withColumn(added, F.when(body.rlike(r"[0-9]{4}|[(\[]at[)\]]|[A-Za-z0-9_+/-]{16}"), added_spans(body, F.col(base), model)).otherwise(none))
 
 
 def as_text(spans: Column) -> Column:
@@ -348,7 +361,7 @@ def redact(docs: DataFrame, model: Model | None = None, *, text: str = "text") -
 
 
 def contract(spark, sf_dir: str) -> DataFrame:
-    """The digest of op2 for every document; n_* count base spans, n_added the method's."""
+    """The digest of op2 for every document; n_* count base spans, n_added the method's, n_spans all."""
     found = with_spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), train(spark))
     count = lambda kind: F.size(F.filter("base_", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *(count(k) for k in KINDS), F.sha2(as_text(F.col("base_")).cast("binary"), 256).alias("base_sha256"), as_text(F.array_sort(F.concat("base_", "added_"))).alias("spans"), F.size("added_").cast("long").alias("n_added"))
+    return found.select("doc_id", *(count(k) for k in KINDS), F.sha2(as_text(F.col("base_")).cast("binary"), 256).alias("base_sha256"), as_text(F.array_sort(F.concat("base_", "added_"))).alias("spans"), F.size("added_").cast("long").alias("n_added"), (F.size("base_") + F.size("added_")).cast("long").alias("n_spans"))
