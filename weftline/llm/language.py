@@ -35,6 +35,8 @@ from weftline.llm import textblocks as tb
 UND = "und"
 PER_LANGUAGE = 500
 FEATURES = 4096
+#: Documents of a block: short texts become rows as wide as long ones.
+BLOCK_ROWS = 256
 #: Below this score a document's language counts as unsure (of n families of m languages each a score is at least 1 / nm).
 LEAST_SCORE = 0.2
 #: The least fit lies halfway between chance and the fit which this share of held-back learning rows do not reach; what each bucket counts before any row is seen; folds.
@@ -128,7 +130,7 @@ class Model:
 
     def __init__(self, texts: list[str], langs: list[str]):
         offsets, data = tb.string_parts(pa.array(texts, pa.large_string()))
-        x = np.concatenate([features(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]) for a, b in tb.blocks(offsets)]) if texts else np.zeros((0, FEATURES), np.float32)
+        x = np.concatenate([features(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]) for a, b in tb.blocks(offsets, rows=BLOCK_ROWS)]) if texts else np.zeros((0, FEATURES), np.float32)
         lang = np.array(langs)
         family = np.array([FAMILY_OF.get(v, v) for v in langs])
         self.families = sorted(set(family.tolist()))
@@ -230,7 +232,7 @@ def _labeller(model_of):
         for batch in batches:
             offsets, data = tb.string_parts(batch.column(1))
             langs, scores = [], []
-            for a, b in tb.blocks(offsets):
+            for a, b in tb.blocks(offsets, rows=BLOCK_ROWS):
                 lang, score = model.label(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
                 langs += lang.tolist()
                 scores += score.tolist()
@@ -255,7 +257,7 @@ def keep_known(docs: DataFrame, model: Model, *, text: str = "text", least: floa
         for batch in batches:
             offsets, data = tb.string_parts(batch.column(at))
             good = np.zeros(batch.num_rows, dtype=bool)
-            for a, b in tb.blocks(offsets):
+            for a, b in tb.blocks(offsets, rows=BLOCK_ROWS):
                 good[a:b] = own.known(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]], least)
             yield batch.filter(pa.array(good))
 
