@@ -36,6 +36,8 @@ from weftline.llm.spill import settle, shared_dir
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 16 << 20
+#: Reading tasks: one for each byte range up to so many; beyond, a task has several.
+MAX_TASKS = 100_000
 READ_BYTES = 1 << 20
 LEVEL = 4
 DATE = "2024-01-01T00:00:00Z"
@@ -220,11 +222,12 @@ def list_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_archives(files: DataFrame, folder: str, *, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
-    """Records of the files, each byte range read by whichever task it falls to."""
+    """Records of the files, each byte range read by whichever task it falls to.  The number of tasks follows the ranges: rows of ranges are tiny, so that a partitioning left to their size would put them into one task."""
     split = F.lit(split_bytes).cast("long")
     last = F.floor((F.col("size") - 1) / split)
+    n = files.where("size > 0").agg(F.coalesce(F.sum(last + 1), F.lit(0)).cast("long")).first()[0]
     ranges = files.where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("i")).select("path", "size", (F.col("i") * split).alias("start"), F.least((F.col("i") + 1) * split, "size").alias("end"))
-    return ranges.repartition("path", "start").mapInArrow(_reader(folder, with_payload), RECORDS)
+    return ranges.repartition(max(1, min(n, MAX_TASKS))).mapInArrow(_reader(folder, with_payload), RECORDS)
 
 
 def contract(spark, sf_dir: str) -> DataFrame:
