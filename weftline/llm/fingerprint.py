@@ -10,9 +10,11 @@ A fingerprint is the sketch in hexadecimal; equal texts have equal ones.  Two em
 sketches resemble each other entirely, an empty one and another not at all.
 
 Neighbours in id order (for the digest of op4) are found without a global sort: ids are
-cut into at most ``RANGES`` equal ranges, each range is one window partition, and the
-first document of each range is sent to the range before as well (at most ``RANGES``
-rows).  Texts are shuffled once.
+cut into ranges at quantiles of a bounded sample of them (so that far-off ids or dense
+stretches make no range large), each range is one window partition, and the first document
+of each range is sent to the range before as well (a row for each range).  There are
+``RANGES_A_TASK`` ranges for each task of the scan, ``MOST_RANGES`` at most.  Texts are
+shuffled once.
 
 Defined cases: null texts are empty; a row with a null id has no place in the order and is
 its own next document; repeated ids follow each other by text; the only document is its own
@@ -27,7 +29,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, WIDTH = 128, 5
-RANGES = 4096
+RANGES_A_TASK, MOST_RANGES = 64, 1 << 17
+#: Sampled ids for each range.
+SAMPLED = 8
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -90,21 +94,43 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.hex(x)), ",")
 
 
-def with_next(docs: DataFrame, ranges: int = RANGES) -> tuple[DataFrame, Window]:
+def range_starts(keys: DataFrame, most: int = MOST_RANGES, a_task: int = RANGES_A_TASK) -> list[int]:
+    """Ascending first ids of ranges with about as many rows each, from a hashed sample of the ids (column row_key)."""
+    seen = keys.groupBy(F.spark_partition_id().alias("p")).agg(F.count("row_key").alias("n")).agg(F.count("*").alias("tasks"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    ranges = max(1, min(most, a_task * seen["tasks"], seen["n"]))
+    share = min(1.0, SAMPLED * ranges / max(1, seen["n"]))
+    sample = keys.where((F.pmod(F.xxhash64(F.lit(41), "row_key"), F.lit(1 << 30)) / float(1 << 30) < share) & F.col("row_key").isNotNull())
+    # At most about SAMPLED * MOST_RANGES ids meet in one row; only the quantiles reach the driver.
+    ordered = sample.agg(F.sort_array(F.collect_list("row_key")).alias("ids"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(max(1, ranges - 1))), lambda i: F.try_element_at("ids", (F.floor(i * F.size("ids") / F.lit(ranges)) + 1).cast("int")))
+    return sorted({v for v in ordered.select(at.alias("at")).first()["at"] if v is not None})
+
+
+def range_of(key: Column, starts: list[int]) -> Column:
+    """The number of range starts at or below the key: a binary search in a constant array."""
+    if not starts:
+        return F.lit(0)
+    listed = F.expr(f"cast(split('{','.join(map(str, starts))}', ',') as array<bigint>)")
+    half = lambda acc: F.shiftright(acc["lo"] + acc["hi"], 1)
+    # Of lo .. hi, hi is the first start above the key, or the number of starts.
+    step = lambda acc, _: F.when(acc["lo"] >= acc["hi"], acc).when(F.element_at(listed, half(acc) + 1) <= key, F.struct((half(acc) + 1).alias("lo"), acc["hi"].alias("hi"))).otherwise(F.struct(acc["lo"].alias("lo"), half(acc).alias("hi")))
+    rounds = F.sequence(F.lit(1), F.lit(len(starts).bit_length()))
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), F.lit(len(starts)).alias("hi")), step, lambda acc: acc["lo"])
+
+
+def with_next(docs: DataFrame, ranges: int = MOST_RANGES) -> tuple[DataFrame, Window]:
     """(row_key, text, follows, next_text) in windows of one range of ids, and the window; rows with ``follows`` only close a range and are to be dropped after use."""
     placed = docs.where("row_key is not null")
-    ends = placed.agg(F.min("row_key").alias("lo"), F.max("row_key").alias("hi")).first()
-    lo, hi = (ends["lo"], ends["hi"]) if ends["lo"] is not None else (0, 0)
-    width = -(-(hi - lo + 1) // ranges)
-    at = F.expr(f"cast((cast(row_key as decimal(20,0)) - {lo}) div {width} as int)")
-    # One id for each range that has documents: at most ``ranges`` rows.
+    starts = range_starts(docs.select("row_key"), ranges)
+    at = range_of(F.col("row_key"), starts)
+    # One id for each range that has documents.
     heads = placed.groupBy(at.alias("range")).agg(F.min("row_key").alias("row_key"))
     order = Window.orderBy("range")
     before = F.coalesce(F.lag("range").over(order), F.last("range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     heads = heads.withColumn("before", before).select("row_key", "before")
     closing = placed.join(F.broadcast(heads), "row_key").select(F.col("before").alias("range"), "row_key", "text", F.lit(True).alias("follows"))
     # Rows without an id are dealt out by their text and need no neighbour.  All rows meet before the one exchange: a union after it would cost another.
-    place = F.when(F.col("row_key").isNotNull(), at).otherwise(-1 - F.pmod(F.xxhash64("text"), F.lit(ranges)).cast("int"))
+    place = F.when(F.col("row_key").isNotNull(), at).otherwise(-1 - F.pmod(F.xxhash64("text"), F.lit(max(1, len(starts)))).cast("int"))
     own = docs.select(place.alias("range"), "row_key", "text", F.lit(False).alias("follows"))
     by = Window.partitionBy("range").orderBy("follows", "row_key", "text")
     after = F.when(F.col("row_key").isNull(), F.col("text")).otherwise(F.lead("text").over(by))
