@@ -12,8 +12,11 @@ to their end by prefix hashes, and matches too short for the array are looked up
 and pairs.  Documents with a hit are affected and can be removed.
 
 The shards need no shuffle.  The test set travels to the executors in blocks of at
-most ``MAX_TEST_BYTES`` of text, so what is broadcast has a bound whatever the size
-of the test set; with several blocks each pass adds to what a row has, without a shuffle.
+most ``MAX_TEST_BYTES`` of text, ``BLOCKS_SENT`` of them at a time; a worker holds the index
+of one block (about 250 bytes a word) and up to ``HELD_BYTES`` of documents, which it takes
+through the blocks in turn.  A larger test set takes several rounds, with what rows have so
+far kept in the shared folder between them; so what is broadcast and what a worker holds
+have bounds for a test set of any size (an item longer than a block is a block of its own).
 
 Defined cases: a null or empty text has no words and no hit; items without words are
 ignored; items with a null id are searched like others, and only the list of ids leaves
@@ -26,21 +29,23 @@ not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import textblocks as tb
+from weftline.llm.spill import table
 
 WINDOW = 10
 #: Suffixes are compared word by word for so many words, and by hashes beyond.
-DEPTH = 64
-MAX_TEST_BYTES = 32 << 20
+DEPTH = 16
+MAX_TEST_BYTES, BLOCKS_SENT = 4 << 20, 32
+#: Documents that meet one block's index before it makes way for the next, where there are several.
+HELD_BYTES = 64 << 20
 _BITS = 20
-_FACTOR = 0x9E3779B97F4A7C15
-_INVERSE = pow(_FACTOR, -1, 2**64)
 
 SCHEMA = "row_key long, n_words long, hit_from array<int>, hit_to array<int>, items array<string>, longest int, longest_item string, longest_at int"
 
@@ -106,15 +111,18 @@ def suffix_order(keys: np.ndarray, rank: np.ndarray, at: np.ndarray, left: np.nd
     return order
 
 
-def prefix_sums(rank: np.ndarray) -> np.ndarray:
-    """Sums from which run_hashes takes the hash of any run of words."""
-    sums = np.zeros(len(rank) + 1, dtype=np.uint64)
-    np.cumsum(tb.mix(rank.astype(np.uint64)) * tb.powers(_INVERSE, len(rank)), out=sums[1:])
-    return sums
+def prefix_sums(rank: np.ndarray) -> list[np.ndarray]:
+    """Sums from which run_hashes takes the hashes of any run of words, one for each prime."""
+    values = tb.mix(rank.astype(np.uint64))
+    return [tb.run_sums(values % np.uint64(p), p, base, 2 * tb._EXACT_RUN) for p, base in tb.PRIMES]
 
 
-def run_hashes(sums: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    return (sums[at + size] - sums[at]) * tb.powers(_FACTOR, len(sums))[at]
+def same_runs(a: list[np.ndarray], at: np.ndarray, b: list[np.ndarray], bt: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether runs of ``size`` words are equal, by their hashes."""
+    same = np.ones(len(at), dtype=bool)
+    for x, y, (p, base) in zip(a, b, tb.PRIMES):
+        same &= tb.run_hash(x, at, at + size, p, base) == tb.run_hash(y, bt, bt + size, p, base)
+    return same
 
 
 def long_matches(rank: np.ndarray, place: np.ndarray, left: np.ndarray, tests: TestSet) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +134,7 @@ def long_matches(rank: np.ndarray, place: np.ndarray, left: np.ndarray, tests: T
         low, high = np.zeros(len(place), np.int64), np.minimum(left, tests.left[s])
         while (low < high).any():
             middle = (low + high + 1) // 2
-            same = run_hashes(sums, place, middle) == run_hashes(tests.sums, tests.at[s], middle)
+            same = same_runs(sums, place, tests.sums, tests.at[s], middle)
             low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
         return low
 
@@ -276,21 +284,50 @@ def merged(a: tuple, b: tuple) -> tuple:
     return a[0], [x for x, _ in spans], [y for _, y in spans], sorted({*a[3], *b[3]}), *max(a[4:], b[4:], key=lambda t: t[0])
 
 
-def _searcher(tests_of, more: bool, before: bool):
-    """Matches of one block of items; ``before``: rows carry what earlier blocks found, ``more``: texts go on to the next block."""
+class Indexes:
+    """The index of each broadcast block, one held at a time; with a single block it stays."""
+
+    def __init__(self, blocks: list):
+        self.blocks, self.now, self.tests = blocks, -1, None
+
+    def __iter__(self) -> Iterator[TestSet]:
+        for i, block in enumerate(self.blocks):
+            if i != self.now:
+                self.tests = None
+                self.now, self.tests = i, TestSet(block.value)
+                if len(self.blocks) > 1:
+                    # What the worker read of the broadcast would stay beside the index.
+                    block.__dict__.pop("_value", None)
+            yield self.tests
+
+
+def held(batches: Iterator[pa.RecordBatch], text: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to ``limit`` bytes of text."""
+    some, size = [], 0
+    for batch in batches:
+        some.append(batch)
+        size += batch.column(text).nbytes
+        if size >= limit:
+            yield pa.concat_batches(some)
+            some, size = [], 0
+    if some:
+        yield pa.concat_batches(some)
+
+
+def _searcher(blocks: list, more: bool, before: bool):
+    """Matches of some blocks of items; ``before``: rows carry what earlier rounds found, ``more``: texts go on to the next round."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = TestSet(tests_of.value)
-        for batch in batches:
+        indexes = Indexes(blocks)
+        for batch in held(batches, 1, HELD_BYTES) if len(blocks) > 1 else batches:
             offsets, data = tb.string_parts(batch.column(1))
-            earlier = list(zip(*(batch.column(i + 2).to_pylist() for i in range(len(_TYPES))))) if before else None
+            found = list(zip(*(batch.column(i + 2).to_pylist() for i in range(len(_TYPES))))) if before else None
+            for tests in indexes:
+                out = [row for a, b in tb.blocks(offsets) for row in match_block(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]], tests)]
+                found = out if found is None else [merged(x, y) for x, y in zip(found, out)]
             for a, b in tb.blocks(offsets):
-                out = list(match_block(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]], tests))
-                if earlier:
-                    out = [merged(x, y) for x, y in zip(earlier[a:b], out)]
-                found = [pa.array(c, t) for c, t in zip(zip(*out), _TYPES)]
-                kept = [batch.column(i).slice(a, b - a) for i in range(2 if more else 1)]
-                yield pa.RecordBatch.from_arrays([*kept, *found], names=["row_key", *(["text"] if more else []), *_NAMES[1:]])
+                columns = [pa.array(c, t) for c, t in zip(zip(*found[a:b]), _TYPES)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(2 if more else 1)), *columns], names=["row_key", *(["text"] if more else []), *_NAMES[1:]])
 
     return search
 
@@ -310,15 +347,27 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int)
         yield block
 
 
+def _rounds(spark: SparkSession, benchmark: DataFrame, item: str, item_text: str, limit: int) -> Iterator[tuple[list, bool]]:
+    """Broadcast blocks of the test set, as many as go together, and whether there are more; one empty block for an empty test set."""
+    rounds = batched(item_blocks(benchmark, item, item_text, limit), BLOCKS_SENT)
+    now = next(rounds, ([],))
+    while now is not None:
+        after = next(rounds, None)
+        yield [spark.sparkContext.broadcast(b) for b in now], after is not None
+        now = after
+
+
 def find_matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", limit: int = MAX_TEST_BYTES) -> DataFrame:
     """row_key, n_words, merged hit spans in words, items found, and the longest match with its item and place, for each document."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("row_key"), F.col(text).alias("text"))
-    found = [spark.sparkContext.broadcast(b) for b in item_blocks(benchmark, item, item_text, limit)] or [spark.sparkContext.broadcast([])]
+    rows, before = docs.select(F.col(key).cast("long").alias("row_key"), F.col(text).alias("text")), False
     wide = SCHEMA.replace("row_key long, ", "row_key long, text string, ", 1)
-    for i, tests_of in enumerate(found):
-        more = i + 1 < len(found)
-        rows = rows.mapInArrow(_searcher(tests_of, more, i > 0), wide if more else SCHEMA)
+    for blocks, more in _rounds(docs.sparkSession, benchmark, item, item_text, limit):
+        rows = rows.mapInArrow(_searcher(blocks, more, before), wide if more else SCHEMA)
+        before = True
+        if more:
+            rows = table(rows)
+            for b in blocks:
+                b.destroy()
     return rows
 
 
@@ -327,27 +376,29 @@ def n_hit() -> F.Column:
     return F.aggregate(F.zip_with("hit_from", "hit_to", lambda a, b: b - a), F.lit(0).cast("long"), lambda acc, x: acc + x)
 
 
-def remove_affected(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def remove_affected(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", limit: int = MAX_TEST_BYTES) -> DataFrame:
     """docs without those in which a test window occurs.  Whole rows are kept or removed; a null key is kept apart and judged by its own text."""
-    spark = docs.sparkSession
-    names = docs.columns
-    out_schema = docs.schema
-    found = [spark.sparkContext.broadcast(b) for b in item_blocks(benchmark, item, item_text, MAX_TEST_BYTES)]
-    kept = docs
-    for tests_of in found:
-        kept = kept.mapInArrow(_remover(tests_of, names.index(text)), out_schema)
+    kept, at, schema = docs, docs.columns.index(text), docs.schema
+    for blocks, more in _rounds(docs.sparkSession, benchmark, item, item_text, limit):
+        kept = kept.mapInArrow(_remover(blocks, at), schema)
+        if more:
+            kept = table(kept)
+            for b in blocks:
+                b.destroy()
     return kept
 
 
-def _remover(tests_of, at: int):
+def _remover(blocks: list, at: int):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = TestSet(tests_of.value)
-        for batch in batches:
-            offsets, data = tb.string_parts(batch.column(at))
-            keep = np.ones(batch.num_rows, dtype=bool)
-            for a, b in tb.blocks(offsets):
-                keep[a:b] = [not row[1] for row in match_block(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]], tests, longest=False)]
-            yield batch.filter(pa.array(keep))
+        indexes = Indexes(blocks)
+        for batch in held(batches, at, HELD_BYTES) if len(blocks) > 1 else batches:
+            for tests in indexes:
+                offsets, data = tb.string_parts(batch.column(at))
+                keep = np.ones(batch.num_rows, dtype=bool)
+                for a, b in tb.blocks(offsets):
+                    keep[a:b] = [not row[1] for row in match_block(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]], tests, longest=False)]
+                batch = batch.filter(pa.array(keep))
+            yield batch
 
     return clean
 
