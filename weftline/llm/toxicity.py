@@ -11,7 +11,10 @@ with logistic loss, where pi is the share of toxic texts among marked learning r
 against it, as the method prescribes.  The score is the model's probability.
 
 Samples are bounded (``POSITIVES`` and ``UNLABELLED`` texts, by the hash of the key,
-from rows that are not held out); scoring covers every whole text.
+from rows that are not held out); scoring covers every whole text.  The settings of the
+model were chosen by ``fold_quality``, which fits on some folds of the learning rows and
+measures on another; held-out rows have no part in it.  The share pi is kept within
+``PRIORS``, where the method's risk is defined.
 
 Defined cases: null and empty texts get the score of a text without any known word;
 without a positive learning row every score is 0; repeated marks count once and a text
@@ -32,8 +35,9 @@ from weftline.llm import textblocks as tb
 
 POSITIVES, UNLABELLED, WORDS = 2500, 6000, 2048
 THRESHOLD = 0.3
+PRIORS = (0.001, 0.9)
 #: Standard errors from which a word counts as standing out (chance words that pass get small weights).
-STANDS_OUT = 2.5
+STANDS_OUT, RIDGE = 3.0, 2e-4
 _BITS = 20
 SCHEMA = "row_key long, score double"
 
@@ -82,7 +86,7 @@ def _matrix(texts: list[str], column: np.ndarray, width: int) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros((0, width), np.float32)
 
 
-def fit(positive: list[str], unlabelled: list[str], prior: float, *, width: int = WORDS, steps: int = 300, ridge: float = 2e-4) -> Model:
+def fit(positive: list[str], unlabelled: list[str], prior: float, *, width: int = WORDS, steps: int = 300, ridge: float = RIDGE, stands_out: float = STANDS_OUT) -> Model:
     """A model from toxic texts and unlabelled ones, of which a share ``prior`` is toxic."""
     if not positive or not unlabelled:
         return Model(None, np.zeros(0), 0.0)
@@ -93,7 +97,7 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, *, width: int
     apart = np.abs(in_p / n_p - in_u / n_u) / np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
     apart[in_p + in_u < 3] = 0
     order = np.argsort(-apart, kind="stable")[:width]
-    chosen = np.sort(order[apart[order] >= STANDS_OUT])
+    chosen = np.sort(order[apart[order] >= stands_out])
     column = np.full(1 << _BITS, -1, np.int32)
     column[chosen] = np.arange(len(chosen))
     xp, xu = _matrix(positive, column, len(chosen)), _matrix(unlabelled, column, len(chosen))
@@ -120,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     found = marks.agg(F.count_if("y").alias("p"), F.count("*").alias("n")).first()
     if not found["p"]:
         return Model(None, np.zeros(0), 0.0)
-    prior = prior if prior is not None else min(0.9, max(0.001, found["p"] / found["n"]))
+    prior = prior if prior is not None else min(PRIORS[1], max(PRIORS[0], found["p"] / found["n"]))
     rows = docs.where(F.col(key).isNotNull() & ~samples.held_out(F.col(key))).select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     # The chosen keys are at most ``positives``, so they may travel to the texts.
     chosen = marks.where("y").orderBy(F.xxhash64(F.lit(11), "k"), "k").limit(positives).select("k")
@@ -130,6 +134,27 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     return fit(sorted(r["t"] for r in toxic.select("t").collect()), sorted(r["t"] for r in some.select("t").collect()), prior)
 
 
+def fold_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", unlabelled: int = UNLABELLED, **settings) -> list[tuple[float, float]]:
+    """(area under the curve, share of right predictions at the threshold) on each fold of the learning rows by a model of the other folds; for choosing settings of ``fit``, on tables of which the marked rows fit the driver."""
+    fold = (F.crc32(F.col(key).cast("string").cast("binary")) % samples.FOLDS).alias("fold")
+    rows = docs.where(F.col(key).isNotNull() & ~samples.held_out(F.col(key))).select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), fold)
+    marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.max(label) > 0).alias("y"))
+    marked = [(r["fold"], r["t"], r["y"]) for r in rows.join(marks, "k").orderBy("k").select("fold", "t", "y").collect()]
+    some = [(r["fold"], r["t"]) for r in rows.where(samples.share_of(F.col("k"), 13) < min(1.0, unlabelled / max(1, rows.count()))).orderBy("k").select("fold", "t").collect()]
+    out = []
+    for f in (i for i in range(samples.FOLDS) if i != samples.HELD_OUT):
+        positive, own = [t for g, t, y in marked if g != f and y], [(t, y) for g, t, y in marked if g == f]
+        prior = min(PRIORS[1], max(PRIORS[0], len(positive) / max(1, sum(g != f for g, _, _ in marked))))
+        model = fit(positive, [t for g, t in some if g != f], prior, **settings)
+        offsets, data = tb.string_parts(pa.array([t for t, _ in own], pa.large_string()))
+        score = np.concatenate([model.score(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]) for a, b in tb.blocks(offsets)]) if own else np.zeros(0)
+        y = np.array([y for _, y in own], dtype=bool)
+        rank = np.argsort(np.argsort(score)) + 1
+        area = (rank[y].sum() - y.sum() * (y.sum() + 1) / 2) / max(1, y.sum() * (~y).sum())
+        out.append((float(area), float(((score >= THRESHOLD) == y).mean()) if own else 0.0))
+    return out
+
+
 def _scorer(model_of):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of.value
