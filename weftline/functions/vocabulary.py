@@ -57,11 +57,11 @@ ASSERT_CALLS = {
     "java": ("assertEquals", "assertTrue", "assertFalse", "assertNotNull", "assertThrows", "assertThat", "verify", "when"),
 }
 #: Assertion methods in Python tests, beside all that begin with assert_.
-PYTHON_ASSERTS = frozenset(
-    "assertEqual assertNotEqual assertTrue assertFalse assertIs assertIsNot assertIsNone assertIsNotNone assertIn assertNotIn "
-    "assertIsInstance assertNotIsInstance assertRaises assertWarns assertAlmostEqual assertNotAlmostEqual assertGreater "
-    "assertGreaterEqual assertLess assertLessEqual assertRegex assertNotRegex assertCountEqual".split()
-)
+PYTHON_ASSERTS = (
+    "assertEqual", "assertNotEqual", "assertTrue", "assertFalse", "assertIs", "assertIsNot", "assertIsNone", "assertIsNotNone", "assertIn", "assertNotIn",
+    "assertIsInstance", "assertNotIsInstance", "assertRaises", "assertWarns", "assertAlmostEqual", "assertNotAlmostEqual", "assertGreater",
+    "assertGreaterEqual", "assertLess", "assertLessEqual", "assertRegex", "assertNotRegex", "assertCountEqual",
+)
 
 
 class Pattern(NamedTuple):

@@ -10,15 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from weftline.functions.vocabulary import CLIENT_PATTERNS, METHOD_NAMES, ROUTE_PATTERNS
+from weftline.sources.files import LINE_ENDS
 
 PARAM = "[^/]+"
 
 
-def call_path(url: Column) -> Column:
-    """The path a call names: without scheme and host, without trailing slashes, its own placeholders as the text they match by."""
+def bare_path(url: Column) -> Column:
+    """The path a call names: without scheme and host, without trailing slashes."""
     bare = F.regexp_replace(url, "/+$", "")
-    path = F.when(F.contains(bare, F.lit("://")), F.regexp_replace(bare, r"^[\s\S]*?://[^/]*", "")).otherwise(bare)
-    return F.regexp_replace(path, r"\{[^}]+\}", PARAM)
+    return F.when(F.contains(bare, F.lit("://")), F.regexp_replace(bare, r"^[\s\S]*?://[^/]*", "")).otherwise(bare)
+
+
+def call_path(url: Column) -> Column:
+    """As bare_path, with the call's own placeholders as the text they match by."""
+    return F.regexp_replace(bare_path(url), r"\{[^}]+\}", PARAM)
 
 
 def route_template(url: Column, param: str) -> Column:
@@ -28,15 +33,17 @@ def route_template(url: Column, param: str) -> Column:
 
 
 @F.pandas_udf(BooleanType())
-def _compiles(patterns: pd.Series) -> pd.Series:
-    def valid(p: str) -> bool:
+def _fits(path: pd.Series, pattern: pd.Series, bare: pd.Series, route: pd.Series) -> pd.Series:
+    """Whether paths match patterns of Python's dialect; where a pattern is none, whether the texts are equal.  The engine that judges a pattern also runs it."""
+
+    def compiled(p: str):
         try:
-            re.compile(p)
-        except (re.error, TypeError):
-            return False
-        return True
+            return re.compile(p)
+        except re.error:
+            return None
 
-    return patterns.map(valid)
+    known = {p: compiled(p) for p in set(pattern)}
+    return pd.Series([bool(known[p].match(x)) if known[p] else b == r for x, p, b, r in zip(path, pattern, bare, route)], dtype=bool)
 
 
 def methods_agree(a: Column, b: Column) -> Column:
@@ -50,9 +57,11 @@ def matches(calls: DataFrame, routes: DataFrame) -> DataFrame:
     A plain route (letters, digits, common signs and whole parameters) only fits calls with as
     many segments, and with its own first segment if that is no parameter; so the join is an
     equality on those, and the pattern is tested on what meets.  Routes with signs of regular
-    expressions can span segments and meet all calls; one that does not compile fits its own text.
+    expressions can span segments; they meet the calls of their first segment where that is
+    plain text with another segment after it, and otherwise all calls of a method that agrees.
+    One that does not compile fits its own text.
     """
-    left = calls.select(*(F.col(c).alias(f"c_{c}") for c in calls.columns)).withColumn("path", call_path(F.col("c_url_pattern")))
+    left = calls.select(*(F.col(c).alias(f"c_{c}") for c in calls.columns)).withColumns({"path": call_path(F.col("c_url_pattern")), "bare": bare_path(F.col("c_url_pattern"))})
     right = routes.select(*(F.col(c).alias(f"r_{c}") for c in routes.columns))
     mark = "\u0001"
     right = right.withColumns({"marked": route_template(F.col("r_url_pattern"), mark), "pattern": F.concat(F.lit("^"), route_template(F.col("r_url_pattern"), PARAM), F.lit("$"))})
@@ -64,10 +73,11 @@ def matches(calls: DataFrame, routes: DataFrame) -> DataFrame:
     fits = agree & F.expr("path rlike pattern")
     known = left.join(right.where(F.col("plain") & fixed), (F.col("n") == F.col("n_r")) & (F.col("head") == F.col("head_r")) & fits)
     open_ = left.join(right.where(F.col("plain") & ~fixed), (F.col("n") == F.col("n_r")) & fits)
-    odd = right.where(~F.col("plain")).withColumn("ok", _compiles("pattern"))
-    free = left.join(odd.where("ok").drop("ok"), fits)
-    broken = left.join(odd.where("not ok").drop("ok"), agree & (F.regexp_replace(F.col("path"), "/+$", "") == F.regexp_replace("r_url_pattern", "/+$", "")))
-    return known.unionByName(open_).unionByName(free).unionByName(broken).drop("n", "n_r", "head", "head_r", "plain", "path", "pattern", "marked")
+    odd = right.where(~F.col("plain")).withColumn("named", F.col("marked").rlike(r"^/[A-Za-z0-9_~%-]+/[^?*+{|]") & ~F.contains("marked", F.lit("|")))
+    near = left.join(odd.where("named"), (F.col("head") == F.col("head_r")) & agree)
+    any_ = left.join(odd.where("not named"), agree)
+    free = near.unionByName(any_).where(_fits("path", "pattern", "bare", F.regexp_replace("r_url_pattern", "/+$", ""))).drop("named")
+    return known.unionByName(open_).unionByName(free).drop("n", "n_r", "head", "head_r", "plain", "path", "bare", "pattern", "marked")
 
 
 def confidence(call_method: Column, route_method: Column, call_language: Column, route_language: Column, in_files: Column | None = None) -> Column:
@@ -122,10 +132,10 @@ def client_calls(units: DataFrame) -> DataFrame:
 
 
 def units_of(nodes: DataFrame, sources: DataFrame) -> DataFrame:
-    """Callables with their own lines (body) and those lines with five before and three after the first (context); sources (file, content, language)."""
-    joined = nodes.where(F.col("kind").isin("function", "method")).join(sources, "file").withColumn("lines", F.split("content", "\n"))
+    """Callables with their own lines (body) and the lines from five before to three after their first (context); sources (file, content, language)."""
+    joined = nodes.where(F.col("kind").isin("function", "method")).join(sources, "file").withColumn("lines", F.split("content", LINE_ENDS))
     start, end = F.greatest("line_start", F.lit(1)), F.col("line_end")
     body = F.array_join(F.slice("lines", start, F.greatest(end - start + 1, F.lit(0))), "\n")
     low = F.greatest(start - 5, F.lit(1))
-    context = F.array_join(F.slice("lines", low, start + 3 - low), "\n")
+    context = F.array_join(F.slice("lines", low, start + 4 - low), "\n")
     return joined.select(F.col("id").alias("symbol"), "language", "file", body.alias("body"), context.alias("context"))

@@ -32,6 +32,9 @@ EDGES = T.StructType(
     ]
 )
 FILE_HASHES = T.StructType([T.StructField("file", T.StringType()), T.StructField("sha256", T.StringType()), T.StructField("indexed_at", T.LongType())])
+#: Tokens of a node's texts at their places in one column, and how many it has; ``gen`` is the version that wrote them.
+POSTINGS = T.StructType([T.StructField("token", T.StringType()), T.StructField("id", T.StringType()), T.StructField("col", T.IntegerType()), T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("gen", T.LongType())])
+LENGTHS = T.StructType([T.StructField("id", T.StringType()), T.StructField("file", T.StringType()), T.StructField("dl", T.IntegerType()), T.StructField("gen", T.LongType())])
 
 NODE_KINDS = ("function", "method", "class", "variable")
 EDGE_KINDS = ("calls", "imports", "mutates", "asserts_on", "side_effect", "inherits", "overrides")

@@ -6,12 +6,13 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.lineage import indexed
 from weftline.functions.vocabulary import EXTENSIONS
 from weftline.schema import EDGES, NODES
-from weftline.sources import pythoncode, textcode
+from weftline.sources import pythoncode, receivers, textcode
 
 #: A parser takes (content, module, file) and returns (nodes, edges).
 Parser = Callable[[bytes, str, str], tuple[list[dict], list[dict]]]
@@ -49,7 +50,7 @@ FACTS = "file string, seq int, what string, fact string"
 
 
 def facts(files: DataFrame, resolver: Callable[[list[dict], str], list[dict]] | None = None) -> DataFrame:
-    """(file, seq, what, fact): every node and edge of every file as JSON, in source order.  A resolver may rename targets of unsure Python calls; without one they stay."""
+    """(file, seq, what, fact): every node and edge of every file as JSON, in source order.  Unsure Python calls get the target that their receiver's type gives, or what a resolver of one's own makes of them."""
     parsers = dict(_parsers)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -58,8 +59,8 @@ def facts(files: DataFrame, resolver: Callable[[list[dict], str], list[dict]] |
             for file, module, language, content in batch[["file", "module", "language", "content"]].itertuples(index=False):
                 # A language without a parser is read as Python, which mostly gives nothing.
                 nodes, edges = parsers.get(language, _python)(bytes(content), module, file)
-                if resolver is not None and language == "python":
-                    edges = resolver(edges, file)
+                if language == "python":
+                    edges = resolver(edges, file) if resolver is not None else receivers.resolve_calls(edges, {module: bytes(content)})
                 out += [(file, i, what, json.dumps(x)) for what, rows in (("node", nodes), ("edge", edges)) for i, x in enumerate(rows)]
             yield pd.DataFrame(out, columns=["file", "seq", "what", "fact"])
 
@@ -72,14 +73,12 @@ def node_rows(found: DataFrame) -> DataFrame:
     return found.where("what = 'node'").select("seq", F.from_json("fact", names).alias("n")).select("seq", "n.*")
 
 
-def edge_rows(found: DataFrame) -> DataFrame:
-    """Edges with defaults; edge_id orders them by file and place (files by their own name's hash range, so no global sort)."""
+def edge_rows(found: DataFrame, start: int = 0) -> DataFrame:
+    """Edges with defaults and edge_id, from ``start`` on."""
     read = found.where("what = 'edge'").select("file", "seq", F.from_json("fact", "src string, dst string, kind string, confidence double, weight int, scope string, detail string").alias("e")).select("file", "seq", "e.*")
-    return numbered(read.withColumns({"confidence": F.coalesce("confidence", F.lit(1.0)), "weight": F.coalesce("weight", F.lit(1)), "scope": F.col("scope"), "detail": F.col("detail")}))
+    return numbered(read.withColumns({"confidence": F.coalesce("confidence", F.lit(1.0)), "weight": F.coalesce("weight", F.lit(1)), "scope": F.col("scope"), "detail": F.col("detail")}), start)
 
 
-def numbered(edges: DataFrame) -> DataFrame:
-    """edges with edge_id: the rank of the file in name order, then the place in the file."""
-    ranks = edges.select("file").distinct().withColumn("_r", F.row_number().over(Window.orderBy("file")).cast("long"))
-    out = edges.join(ranks, "file").withColumn("edge_id", F.col("_r") * (1 << 24) + F.col("seq"))
-    return out.select(*EDGES.names)
+def numbered(edges: DataFrame, start: int = 0) -> DataFrame:
+    """edges with edge_id = start, start + 1, ... by file and place in the file; a store's later batches start above all it has, so ids are unique and order edges by when they came."""
+    return indexed(edges, "edge_id", "file", "seq").withColumn("edge_id", F.col("edge_id") + start).select(*EDGES.names)

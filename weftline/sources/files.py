@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 from weftline.functions.vocabulary import EXTENSIONS, SKIPPED_FOLDERS
 
 
+FILES = "file string, relative string, language string, module string, content binary, sha256 string"
+#: What ends a line of text: all line boundaries of Unicode text.
+LINE_ENDS = r"\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085\u2028\u2029]"
+
+
 def language_of(path: Column) -> Column:
     """The language of a path by its extension in any case, or null."""
     names = F.create_map(*(F.lit(v) for kv in EXTENSIONS.items() for v in kv))
@@ -60,25 +66,42 @@ def skipped(relative: Column) -> Column:
     return F.arrays_overlap(folders, F.array(*(F.lit(x) for x in SKIPPED_FOLDERS)))
 
 
-def scan(spark: SparkSession, root: str, patterns: list[str] | None = None) -> DataFrame:
-    """(file, relative, language, module, content, sha256) of every known source file under root."""
+def listing(spark: SparkSession, root: str, patterns: list[str] | None = None) -> DataFrame:
+    """(path, relative, language, modified, length) of every known source file under root: names, times and sizes only, no content is read."""
     patterns = ignore_patterns(spark, root) if patterns is None else patterns
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    # Names decide before any content is read.
-    found = found.select("path", relative_to(F.col("path"), root).alias("relative"), "content").withColumn("language", language_of(F.col("relative")))
-    found = found.where(F.col("language").isNotNull() & ~skipped(F.col("relative")) & ~ignored(F.col("relative"), patterns))
-    return described(found.withColumn("file", F.col("relative")))
+    any_case = lambda suffix: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
+    names = "*{" + ",".join(any_case(x) for x in sorted({*EXTENSIONS, ".py"})) + "}"
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(_literal(root))
+    found = found.select("path", relative_to(F.col("path"), root).alias("relative"), F.col("modificationTime").alias("modified"), "length").withColumn("language", language_of(F.col("relative")))
+    return found.where(F.col("language").isNotNull() & ~skipped(F.col("relative")) & ~ignored(F.col("relative"), patterns))
+
 
+def _literal(path: str) -> str:
+    """A path in which signs of globs stand for themselves."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
-def described(found: DataFrame) -> DataFrame:
-    return found.select("file", "relative", "language", module_of(F.col("relative")).alias("module"), "content", F.sha2("content", 256).alias("sha256"))
+
+def read(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """(file, relative, language, module, content, sha256) of the files at the given paths."""
+    if not paths:
+        return spark.createDataFrame([], FILES)
+    found = spark.read.format("binaryFile").load([_literal(p) for p in paths])
+    found = found.select(relative_to(F.col("path"), root).alias("relative"), "content").withColumns({"language": language_of(F.col("relative")), "file": F.col("relative")})
+    return found.where(F.col("language").isNotNull()).select("file", "relative", "language", module_of(F.col("relative")).alias("module"), "content", F.sha2("content", 256).alias("sha256"))
+
+
+def scan(spark: SparkSession, root: str, patterns: list[str] | None = None) -> DataFrame:
+    """Every known source file under root with its content.  Names decide first, so that content of skipped and ignored files is never read; the driver holds the names, as it does for any listing."""
+    return read(spark, root, [r["path"] for r in listing(spark, root, patterns).select("path").toLocalIterator()])
 
 
 def pick(spark: SparkSession, root: str, files: list[str]) -> DataFrame:
     """The named files only, without a scan or a look at hashes; unknown languages and missing files are left out."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    found = found.select(relative_to(F.col("path"), root).alias("relative"), "content").where(F.col("relative").isin(files)).withColumn("language", language_of(F.col("relative")))
-    return described(found.where(F.col("language").isNotNull()).withColumn("file", F.col("relative")))
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    system = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    paths = [jvm.org.apache.hadoop.fs.Path(top, f) for f in dict.fromkeys(files)]
+    return read(spark, root, [p.toString() for p in paths if system.exists(p) and system.getFileStatus(p).isFile()])
 
 
 def changes(files: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -89,5 +112,5 @@ def changes(files: DataFrame, hashes: DataFrame) -> DataFrame:
 
 def source_lines(content: Column, start: Column, end: Column) -> Column:
     """Lines start to end (from 1, both inclusive) of a text."""
-    lines = F.split(content, "\n")
+    lines = F.split(content, LINE_ENDS)
     return F.array_join(F.slice(lines, F.greatest(start, F.lit(1)), F.greatest(end - F.greatest(start, F.lit(1)) + 1, F.lit(0))), "\n")

@@ -33,15 +33,16 @@ def events(log: DataFrame) -> DataFrame:
 def debounced(changes: DataFrame, gap: str = DEBOUNCE, watermark: str | None = None) -> DataFrame:
     """(burst_start, burst_end, path, op): for each burst of events with pauses below the gap, the last operation of each path.
 
-    One timer serves all paths, so a burst is a session of the whole log.  A burst is one small
-    batch of file names by nature; for logs of many independent trees add a tree column to the key.
+    One timer serves all paths, so a burst is a session of the whole log: the names of files
+    changed without a pause, which whoever applies the burst needs together.  Repeats of an
+    event are held once; for logs of many independent trees add a tree column to the key.
     """
     if watermark:
         changes = changes.withWatermark("ts", watermark)
     # Sessions of a stream need a key; a literal in the grouping itself would be folded away.
-    session = changes.withColumn("k", F.lit("all")).groupBy("k", F.session_window("ts", gap).alias("w")).agg(F.collect_list(F.struct("path", "ts", "op")).alias("e"))
-    paths = F.array_distinct(F.transform("e", lambda x: x["path"]))
-    last = F.transform(paths, lambda p: F.struct(p.alias("path"), F.array_max(F.transform(F.filter("e", lambda x: x["path"] == p), lambda x: F.struct(x["ts"], x["op"])))["op"].alias("op")))
+    session = changes.withColumn("k", F.lit("all")).groupBy("k", F.session_window("ts", gap).alias("w")).agg(F.array_sort(F.collect_set(F.struct("path", "ts", "op"))).alias("e"))
+    # Of the sorted events, the last of each path.
+    last = F.filter("e", lambda x, i: F.coalesce(F.get(F.col("e"), i + 1)["path"] != x["path"], F.lit(True)))
     return session.select(F.col("w.start").alias("burst_start"), F.col("w.end").alias("burst_end"), F.explode(last).alias("x")).select("burst_start", "burst_end", "x.path", "x.op")
 
 
@@ -55,19 +56,32 @@ def sessions(changes: DataFrame, key: str, gap: str) -> DataFrame:
     return changes.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("burst_start"), F.col("w.end").alias("burst_end"), "n")
 
 
+def _apply(ops: dict[str, str], delete: Callable, change: Callable, on_error: Callable) -> None:
+    for op, act in (("delete", delete), ("change", change)):
+        own = sorted(p for p, o in ops.items() if o == op)
+        if own:
+            try:
+                act(own)
+            except Exception as e:
+                on_error(e)
+
+
+def start_latest(log: DataFrame, delete: Callable[[list[str]], None], change: Callable[[list[str]], None], checkpoint: str, on_error: Callable[[Exception], None] = lambda e: print(f"change not applied: {e}"), trigger: dict | None = None):
+    """As start, but each trigger's events are one burst: for a log that is itself written in bursts, such as the polls of a tree, no later event has to come before a burst is applied."""
+
+    def apply(batch: DataFrame, _: int) -> None:
+        _apply({r["path"]: r["op"] for r in last_ops(batch).collect()}, delete, change, on_error)
+
+    writer = events(log).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).outputMode("append")
+    return writer.trigger(**(trigger or {"processingTime": "300 milliseconds"})).start()
+
+
 def start(log: DataFrame, delete: Callable[[list[str]], None], change: Callable[[list[str]], None], checkpoint: str, gap: str = DEBOUNCE, watermark: str = "1 second", on_error: Callable[[Exception], None] = lambda e: print(f"change not applied: {e}"), trigger: dict | None = None):
     """A streaming query that applies bursts: deletes first, then changes; errors are reported and the stream goes on."""
 
     def apply(batch: DataFrame, _: int) -> None:
         rows = batch.orderBy("burst_end").collect()  # names of one trigger's changed files
-        ops = {r["path"]: r["op"] for r in rows}
-        for op, act in (("delete", delete), ("change", change)):
-            own = sorted(p for p, o in ops.items() if o == op)
-            if own:
-                try:
-                    act(own)
-                except Exception as e:
-                    on_error(e)
+        _apply({r["path"]: r["op"] for r in rows}, delete, change, on_error)
 
     writer = debounced(events(log), gap, watermark).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).outputMode("append")
     return writer.trigger(**(trigger or {"processingTime": "300 milliseconds"})).start()
