@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.traverse import shortest_paths, subgraph
+from weftline.operators.traverse import reach, shortest_paths, subgraph
 
 HIGH, MEDIUM = 0.7, 0.3
 
@@ -19,15 +19,16 @@ def risk_class(score: Column) -> Column:
     return F.when(score > HIGH, "high").when(score >= MEDIUM, "medium").otherwise("low")
 
 
-def at_risk(nodes: DataFrame, edges: DataFrame, symbol: str, max_hops: int = 4, with_paths: bool = False, with_factors: bool = True) -> DataFrame:
-    """symbol, distance, risk_score (rounded half to even), risk_class (of the unrounded score), is_test, risk_factors, ord, and path if asked for.
+def at_risk(nodes: DataFrame, edges: DataFrame, symbol: str, max_hops: int = 4, with_paths: bool = False, with_factors: bool = True, ordered: bool = True) -> DataFrame:
+    """symbol, distance, risk_score (rounded half to even), risk_class (of the unrounded score), is_test, risk_factors, ord (discovery order), and path if asked for.
 
     Dependents are found against the direction of all edges; those without a node row only
     conduct.  Factors are inbound assertions first, then outbound mutations and side effects,
-    each in edge order.
+    each in edge order.  Without ``ordered`` there is no ord, and the traversal carries less.
     """
-    found = subgraph(edges, symbol, "callers", max_hops)
-    hit = found.nodes.where(F.col("id") != symbol).select("id", "hop", "ord").join(nodes.select("id", "is_public", "is_test"), "id")
+    found = subgraph(edges, symbol, "callers", max_hops) if ordered or with_paths else None
+    reached = found.nodes if found else reach(edges, symbol, "callers", max_hops).withColumn("ord", F.lit(None))
+    hit = reached.where(F.col("id") != symbol).select("id", "hop", "ord").join(nodes.select("id", "is_public", "is_test"), "id")
     touching = edges.where(F.col("kind").isin("asserts_on", "mutates", "side_effect"))
     inbound = touching.where("kind = 'asserts_on'").select(F.col("dst").alias("id"), F.lit(0).alias("phase"), "edge_id", F.concat(F.lit("asserts_on:"), "src").alias("txt"))
     outbound = edges.where(F.col("kind").isin("mutates", "side_effect")).select(F.col("src").alias("id"), F.lit(1).alias("phase"), "edge_id", F.concat("kind", F.lit(":"), "dst").alias("txt"))
@@ -37,7 +38,7 @@ def at_risk(nodes: DataFrame, edges: DataFrame, symbol: str, max_hops: int = 4,
     out = hit.join(marks, "id", "left")
     distance = F.greatest("hop", F.lit(1))
     score = risk(distance, F.coalesce("assertions", F.lit(0)), F.coalesce("effects", F.lit(False)), F.col("is_public") == 1)
-    cols = [F.col("id").alias("symbol"), distance.alias("distance"), F.bround(score, 4).alias("risk_score"), risk_class(score).alias("risk_class"), F.col("is_test"), "ord"]
+    cols = [F.col("id").alias("symbol"), distance.alias("distance"), F.bround(score, 4).alias("risk_score"), risk_class(score).alias("risk_class"), F.col("is_test"), *(["ord"] if found else [])]
     if with_factors:
         cols.append(F.coalesce("risk_factors", F.expr("cast(array() as array<string>)")).alias("risk_factors"))
     out = out.select(*cols)

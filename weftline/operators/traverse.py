@@ -3,8 +3,12 @@
 The order in which a queue would discover nodes is the lexicographic order of the edge
 positions along their tree paths.  So each reached node carries its path and that list of
 positions, the tree parent is a partially aggregated minimum, and neither a window nor a
-global row number is needed: a hop is one join, one anti-join and one aggregation, all
-hash-partitioned by node.
+global row number is needed: a hop is one join, one anti-join and one aggregation.
+
+A front that is measured to be small is sent to the edges, which then do not move.  For a
+large one the edges are dealt by their near end once for the whole traversal, and fronts
+meet them there.  Who only asks what is reached at which hop uses ``reach``, which carries
+neither positions nor paths.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from weftline.functions.lineage import settle
 
 #: Edges met from their far end come after all others of the same node.
 _FAR = 1 << 62
+#: Rows of a front or of the reached set that may be broadcast (an id each, or an id, positions and path of a few hops).
+FRONT_SENT = 50_000
 
 
 @dataclass
@@ -49,20 +55,60 @@ def steps(edges: DataFrame, direction: str, min_confidence: float = 0.0, kinds:
     return forward.unionByName(backward.where("src <> dst").withColumn("o", F.col("o") + _FAR))
 
 
+class _Edges:
+    """Steps to which fronts are joined."""
+
+    def __init__(self, step: DataFrame):
+        self.step, self._dealt = step, None
+
+    def meet(self, front: DataFrame, n: int) -> DataFrame:
+        """Steps from the n rows of a front (id, ...)."""
+        front = front.withColumnRenamed("id", "cur")
+        if n <= FRONT_SENT:
+            return self.step.join(F.broadcast(front), "cur")
+        if self._dealt is None:
+            self._dealt = settle(self.step.repartition("cur"))
+        return self._dealt.join(front, "cur")
+
+
+def _unseen(found: DataFrame, visited: DataFrame, n: int) -> DataFrame:
+    """Rows of found (nb, ...) whose nb is none of the n visited."""
+    seen = visited.select(F.col("id").alias("nb"))
+    return found.join(F.broadcast(seen) if n <= FRONT_SENT else seen, "nb", "left_anti")
+
+
+def reach(edges: DataFrame, root: str, direction: str = "both", max_hops: int = 3, min_confidence: float = 0.0, kinds: list[str] | None = None) -> DataFrame:
+    """(id, hop) of everything within max_hops of the root, the root itself included."""
+    spark = edges.sparkSession
+    step = _Edges(steps(edges, direction, min_confidence, kinds).select("cur", "nb"))
+    front = spark.range(1).select(F.lit(root).alias("id"), F.lit(0).alias("hop"))
+    visited, n, total = front, 1, 1
+    for hop in range(1, max_hops + 1):
+        new = _unseen(step.meet(front.select("id"), n).select("nb").distinct(), visited, total)
+        front = settle(new.select(F.col("nb").alias("id"), F.lit(hop).alias("hop")))
+        n = front.count()
+        if not n:
+            break
+        visited, total = visited.unionByName(front), total + n
+    return visited
+
+
 def walk(spark: SparkSession, step: DataFrame, root: str, max_hops: int) -> tuple[DataFrame, DataFrame | None]:
     """(reached ids with hop, ord and path; inspected steps).  Stops early when nothing new is found."""
     front = spark.range(1).select(F.lit(root).alias("id"), F.lit(0).alias("hop"), F.expr("cast(array() as array<bigint>)").alias("ord"), F.array(F.lit(root)).alias("path"))
-    visited, inspected = front, None
+    visited, inspected, n, total = front, None, 1, 1
+    met = _Edges(step)
     for hop in range(1, max_hops + 1):
-        seen = front.withColumnRenamed("id", "cur").join(step, "cur")
+        seen = met.meet(front.drop("hop"), n)
         seen = seen.select("edge_id", "src", "dst", "kind", "confidence", "cur", "nb", F.lit(hop).alias("hops"), F.concat("ord", F.array("o")).alias("ord"), "path")
         seen = settle(seen)
         inspected = seen if inspected is None else inspected.unionByName(seen)
-        new = seen.join(visited.select(F.col("id").alias("nb")), "nb", "left_anti").groupBy("nb").agg(F.min(F.struct("ord", "path")).alias("best"))
+        new = _unseen(seen.select("nb", "ord", "path"), visited, total).groupBy("nb").agg(F.min(F.struct("ord", "path")).alias("best"))
         front = settle(new.select(F.col("nb").alias("id"), F.lit(hop).alias("hop"), F.col("best.ord").alias("ord"), F.concat("best.path", F.array("nb")).alias("path")))
-        if front.isEmpty():
+        n = front.count()
+        if not n:
             break
-        visited = visited.unionByName(front)
+        visited, total = visited.unionByName(front), total + n
     return visited, inspected
 
 

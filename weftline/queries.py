@@ -35,8 +35,8 @@ def _positions(df: DataFrame, *order) -> DataFrame:
 def _bfs(root: str, direction: str, hops: int, confidence: float = 0.0) -> Query:
     def run(spark, d):
         nodes, edges = _star(spark, d)
-        found = traverse.subgraph(edges, root, direction, hops, confidence)
-        return traverse.with_rows(found, nodes.select("id", "kind")).select("id", "kind", F.col("hops").cast("long").alias("hops"))
+        found = traverse.reach(edges, root, direction, hops, confidence)
+        return found.join(nodes.select("id", "kind"), "id").select("id", "kind", F.col("hop").cast("long").alias("hops"))
 
     return run
 
@@ -63,13 +63,13 @@ def bfs_order_event_graph(spark, d):
 
 def impact_ranked(spark, d):
     nodes, edges = _star(spark, d, True)
-    risks = impact.at_risk(nodes, edges, ROOT, 4, with_factors=False)
+    risks = impact.at_risk(nodes, edges, ROOT, 4, with_factors=False, ordered=False)
     return risks.select("symbol", F.col("distance").cast("long").alias("distance"), "risk_score", "risk_class", F.col("is_test").cast("long").alias("is_test"))
 
 
 def impact_summary(spark, d):
     nodes, edges = _star(spark, d, True)
-    return impact.summary(impact.at_risk(nodes, edges, ROOT, 4, with_factors=False))
+    return impact.summary(impact.at_risk(nodes, edges, ROOT, 4, with_factors=False, ordered=False))
 
 
 def impact_factors(spark, d):
