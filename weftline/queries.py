@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline import source_queries
 from weftline.functions import views
 from weftline.functions.views import table
 from weftline.operators import impact, overview, routes, search, traverse
@@ -245,6 +246,7 @@ def queries() -> dict[str, Query]:
         "last_op_per_path": last_op_per_path,
         "override_self_join": override_self_join,
         "resolve_targets_coalesce": resolve_targets_coalesce,
+        **source_queries.queries(),
     }
 
 
@@ -341,6 +343,7 @@ def oracle_sql() -> dict[str, str]:
     callable_ = "kind IN ('function', 'method')"
     undirected = "u AS (SELECT row_number() OVER (ORDER BY hops, prk, o, eid) - 1 AS ix, src, dst FROM seen), ue AS (SELECT 2 * ix AS edge_id, dst AS src, src AS dst, 'x' AS kind, 1.0 AS confidence FROM u UNION ALL SELECT 2 * ix + 1, src, dst, 'x', 1.0 FROM u)"
     return {
+        **source_queries.oracle_sql(),
         "node_lookup": f"WITH {_N} SELECT id, kind, module, signature FROM n WHERE id = 'c:5'",
         "edges_out": f"WITH {_E} SELECT {edge_cols} FROM e WHERE src = '{MIDDLE}'",
         "edges_in": f"WITH {_E} SELECT {edge_cols} FROM e WHERE dst = '{MIDDLE}'",

@@ -9,6 +9,7 @@ of the text.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 
 from weftline.functions.vocabulary import ASSERT_CALLS, EFFECTS_OF, TEST_NAMES
@@ -74,6 +75,49 @@ def block_end(text: str, at: int) -> int:
     return len(text)
 
 
+def call_end(text: str, at: int) -> int:
+    """The end of the call whose bracket opens at ``at``; of the text where it stays open."""
+    depth = 0
+    for m in re.compile(r"[()]").finditer(text, at):
+        depth += 1 if m[0] == "(" else -1
+        if not depth:
+            return m.end()
+    return len(text)
+
+
+_CHAIN = re.compile(r"\)\s*(?:\??\.\s*[A-Za-z_$][\w$]*)+\s*\(")
+_CALLEE = re.compile(r"(?P<dot>\??\.\s*)?[A-Za-z_$][\w$.]*\s*$")
+
+
+def chained_calls(plain: str) -> list[tuple[int, int, int]]:
+    """Calls whose receiver is a call, f(x).g(y): where the whole begins, where its name ends, and where its bracket opens."""
+    opens: dict[int, int] = {}
+    stack: list[int] = []
+    for m in re.finditer(r"[()]", plain):
+        if m[0] == "(":
+            stack.append(m.start())
+        elif stack:
+            opens[m.start()] = stack.pop()
+    out = []
+    for m in _CHAIN.finditer(plain):
+        close = m.start()
+        while close in opens:
+            begin = opens[close]
+            callee = _CALLEE.search(plain, max(0, begin - 200), begin)
+            if callee is None:
+                break
+            begin = callee.start()
+            close = begin - 1 if callee["dot"] else -1
+            while close >= 0 and plain[close].isspace():
+                close -= 1
+            if close < 0 or plain[close] != ")":
+                break
+        else:
+            continue
+        out.append((begin, m.start() + len(m[0][:-1].rstrip()), m.end() - 1))
+    return out
+
+
 def comment_before(text: str, at: int, blocks: dict[int, int]) -> str | None:
     """The whole comment that ends on the line before ``at``: a block comment, or all lines of comments."""
     head = text[: text.rfind("\n", 0, at) + 1].rstrip()
@@ -144,23 +188,26 @@ def parse(content: bytes, module: str, file: str, language: str) -> tuple[list[d
             for m in re.finditer(declared["inherits"], plain[begin : plain.find("{", begin) if "{" in plain[begin:end] else end]):
                 for b in re.split(r"\s*,\s*", m["names"]):
                     edge(f"{module}.{name}", b, "inherits", 0.8)
-    short = {id_.rpartition(".")[2]: id_ for _, _, id_ in spans}
+    chains = chained_calls(plain) if language != "java" else []
+    # Short names of all that the file declares; of equal ones the last in the text counts.
+    short = {n["id"].rpartition(".")[2]: n["id"] for n in sorted(nodes, key=lambda n: n["line_start"])}
     for begin, end, id_ in spans:
         first = plain.find("{", begin, end)
         body_at = begin if first < 0 else first
-        for m in _CALL.finditer(plain, body_at, end):
-            call = m[1].replace("::", ".")
+        found = [(m.start(), m[1], m.end() - 1) for m in _CALL.finditer(plain, body_at, end)]
+        found += [(a, text[a:b], c) for a, b, c in chains if body_at <= a < end]
+        for at, name, bracket in sorted(found, key=lambda x: (x[0], -x[2])):
+            call = name.replace("::", ".")
             if call in _NOT_CALLS:
                 continue
             own = short.get(call.rpartition(".")[2])
             edge(id_, own or call, "calls", 1.0 if own else 0.3)
-            if effect := effect_of(m[1], language):
-                edge(id_, f"side_effect:{effect}:{m[1]}", "side_effect", 1.0, f'{{"kind": "{effect}", "call": "{m[1]}"}}')
+            if effect := effect_of(name, language):
+                edge(id_, f"side_effect:{effect}:{name}", "side_effect", 1.0, json.dumps({"kind": effect, "call": name}))
             if is_test and call.rpartition(".")[2] in ASSERT_CALLS.get(language, ()):
-                stop = plain.find("\n", m.start())
-                shown = text[m.start() : stop if stop > 0 else end]
+                shown = text[at : call_end(plain, bracket)]
                 for name, target in short.items():
-                    if name in shown and target != id_:
+                    if name in shown:
                         edge(id_, target, "asserts_on", 0.8)
         if language in _ASSIGN and id_.count("."):
             for m in re.finditer(_ASSIGN[language], plain[body_at:end]):

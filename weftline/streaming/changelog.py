@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.vocabulary import EXTENSIONS, SKIPPED_FOLDERS
@@ -31,12 +31,16 @@ def events(log: DataFrame) -> DataFrame:
 
 
 def debounced(changes: DataFrame, gap: str = DEBOUNCE, watermark: str | None = None) -> DataFrame:
-    """(burst_start, burst_end, path, op): for each burst of events with pauses below the gap, the last operation of each path.
+    """(burst_start, burst_end, path, op): for each burst of events with pauses below the gap, the last operation of each path; burst_end is the last event's time and the gap.
 
     One timer serves all paths, so a burst is a session of the whole log: the names of files
     changed without a pause, which whoever applies the burst needs together.  Repeats of an
     event are held once; for logs of many independent trees add a tree column to the key.
+    Of a table that is no stream, events are first put together by spans of the gap's length,
+    and only spans are ordered.
     """
+    if not changes.isStreaming:
+        return _bursts(changes, gap)
     if watermark:
         changes = changes.withWatermark("ts", watermark)
     # Sessions of a stream need a key; a literal in the grouping itself would be folded away.
@@ -46,6 +50,19 @@ def debounced(changes: DataFrame, gap: str = DEBOUNCE, watermark: str | None = N
     return session.select(F.col("w.start").alias("burst_start"), F.col("w.end").alias("burst_end"), F.explode(last).alias("x")).select("burst_start", "burst_end", "x.path", "x.op")
 
 
+def _bursts(changes: DataFrame, gap: str) -> DataFrame:
+    """As debounced, of a whole table.  Events of one span of the gap's length are always of one burst, so bursts are told from the spans' first and last times (a row for each span that has events), and events meet them by span."""
+    placed = changes.select("path", "op", "ts", F.window("ts", gap)["start"].alias("span"))
+    spans = placed.groupBy("span").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    order = Window.orderBy("span")
+    begins = F.coalesce(F.col("first") >= F.lag("last").over(order) + F.expr(f"interval {gap}"), F.lit(True))
+    spans = spans.withColumn("begins", begins).withColumn("burst", F.sum(F.col("begins").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    bursts = spans.groupBy("burst").agg(F.min("first").alias("burst_start"), (F.max("last") + F.expr(f"interval {gap}")).alias("burst_end"))
+    last = placed.groupBy("span", "path").agg(F.max(F.struct("ts", "op")).alias("m")).join(spans.select("span", "burst"), "span")
+    last = last.groupBy("burst", "path").agg(F.max("m").alias("m"))
+    return last.join(bursts, "burst").select("burst_start", "burst_end", "path", F.col("m.op").alias("op"))
+
+
 def last_ops(changes: DataFrame) -> DataFrame:
     """The last operation of each path; of operations at one time, the one that sorts last."""
     return changes.groupBy("path").agg(F.max(F.struct("ts", "op")).alias("m")).select("path", F.col("m.op").alias("op"), F.col("m.ts").alias("ts"))
