@@ -110,11 +110,14 @@ def score_postings(posted: DataFrame, length: DataFrame, parts: list[list[str]])
     at = {w: f"w{i}" for i, w in enumerate(words)}
     per = live.groupBy("id", "dl", "col").agg(*(F.coalesce(F.first(F.when(F.col("token") == w, F.col("places")), ignorenulls=True), none).alias(c) for w, c in at.items()))
 
+    def moved(places: Column, back: int) -> Column:
+        return F.transform(places, lambda x: x - F.lit(back))
+
     def count(phrase: list[str]) -> Column:
         """Places at which the phrase begins in this column."""
         begins = F.col(at[phrase[0]])
         for j, w in enumerate(phrase[1:], 1):
-            begins = F.array_intersect(begins, F.transform(F.col(at[w]), lambda x, j=j: x - F.lit(j)))
+            begins = F.array_intersect(begins, moved(F.col(at[w]), j))
         return F.size(begins)
 
     counted = settle(per.groupBy("id", "dl").agg(*(F.sum(count(p)).alias(f"f{i}") for i, p in enumerate(parts))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,14 +35,24 @@ def relative_to(path: Column, root: str) -> Column:
     return F.substring(plain, F.lit(len(root.rstrip("/")) + 2), F.char_length(plain))
 
 
+def _system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path in it."""
+    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), made
+
+
+def _content(spark: SparkSession, system, path) -> bytes:
+    stream = system.open(path)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
 def ignore_patterns(spark: SparkSession, root: str) -> list[str]:
     """Lines of the root's .gitignore but blanks and comments; an ignore file is one small file."""
-    try:
-        lines = [r[0].strip() for r in spark.read.text(f"{root.rstrip('/')}/.gitignore").collect()]
-    except Exception as e:  # a missing path is an analysis error of Spark's own
-        if "PATH_NOT_FOUND" in str(e):
-            return []
-        raise
+    system, path = _system(spark, f"{root.rstrip('/')}/.gitignore")
+    lines = [x.strip() for x in _content(spark, system, path).decode("utf-8", "replace").splitlines()] if system.exists(path) else []
     return [x for x in lines if x and not x.startswith("#")]
 
 
@@ -66,14 +77,31 @@ def skipped(relative: Column) -> Column:
     return F.arrays_overlap(folders, F.array(*(F.lit(x) for x in SKIPPED_FOLDERS)))
 
 
+#: How Hadoop shows what it knows of a file; one text for a folder costs the driver one call.
+_SHOWN = re.compile(r"Status\{path=(?P<path>.*?); isDirectory=(?P<folder>true|false)(?:; length=(?P<length>\d+))?.*?; modification_time=(?P<time>\d+);", re.S)
+
+
+def walk(spark: SparkSession, root: str) -> Iterator[tuple[str, int, int]]:
+    """(path, modification time in ms, length) of all files below root but in skipped folders.  Spark's own listing leaves out names that begin with an underscore or a point, and with them the __init__.py of packages."""
+    system, top = _system(spark, root)
+    shown = spark.sparkContext._jvm.org.apache.commons.lang3.ArrayUtils.toString
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    todo = [top]
+    while todo:
+        for m in _SHOWN.finditer(shown(system.listStatus(todo.pop()))):
+            if m["folder"] == "false":
+                yield m["path"], int(m["time"]), int(m["length"] or 0)
+            elif m["path"].rpartition("/")[2] not in SKIPPED_FOLDERS:
+                todo.append(make(m["path"]))
+
+
 def listing(spark: SparkSession, root: str, patterns: list[str] | None = None) -> DataFrame:
     """(path, relative, language, modified, length) of every known source file under root: names, times and sizes only, no content is read."""
     patterns = ignore_patterns(spark, root) if patterns is None else patterns
-    any_case = lambda suffix: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
-    names = "*{" + ",".join(any_case(x) for x in sorted({*EXTENSIONS, ".py"})) + "}"
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(_literal(root))
-    found = found.select("path", relative_to(F.col("path"), root).alias("relative"), F.col("modificationTime").alias("modified"), "length").withColumn("language", language_of(F.col("relative")))
-    return found.where(F.col("language").isNotNull() & ~skipped(F.col("relative")) & ~ignored(F.col("relative"), patterns))
+    known = tuple({*EXTENSIONS, ".py"})
+    found = [(p, t, n) for p, t, n in walk(spark, root) if p.lower().endswith(known)]
+    rows = spark.createDataFrame(found, "path string, ms long, length long").select("path", relative_to(F.col("path"), root).alias("relative"), F.timestamp_millis("ms").alias("modified"), "length").withColumn("language", language_of(F.col("relative")))
+    return rows.where(F.col("language").isNotNull() & ~skipped(F.col("relative")) & ~ignored(F.col("relative"), patterns))
 
 
 def _literal(path: str) -> str:
@@ -82,10 +110,16 @@ def _literal(path: str) -> str:
 
 
 def read(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
-    """(file, relative, language, module, content, sha256) of the files at the given paths."""
-    if not paths:
-        return spark.createDataFrame([], FILES)
-    found = spark.read.format("binaryFile").load([_literal(p) for p in paths])
+    """(file, relative, language, module, content, sha256) of the files at the given paths.  Executors read them; the few whose names Spark's reader passes over come through the driver."""
+    passed_over = [p for p in paths if any(x[:1] in "_." for x in p.rpartition("/")[2:])]
+    plain = [p for p in paths if p not in set(passed_over)]
+    rows = []
+    for p in passed_over:
+        system, path = _system(spark, p)
+        rows.append((p, bytearray(_content(spark, system, path))))
+    found = spark.createDataFrame(rows, "path string, content binary")
+    if plain:
+        found = found.unionByName(spark.read.format("binaryFile").load([_literal(p) for p in plain]).select("path", "content"))
     found = found.select(relative_to(F.col("path"), root).alias("relative"), "content").withColumns({"language": language_of(F.col("relative")), "file": F.col("relative")})
     return found.where(F.col("language").isNotNull()).select("file", "relative", "language", module_of(F.col("relative")).alias("module"), "content", F.sha2("content", 256).alias("sha256"))
 
@@ -97,11 +131,8 @@ def scan(spark: SparkSession, root: str, patterns: list[str] | None = None) -> D
 
 def pick(spark: SparkSession, root: str, files: list[str]) -> DataFrame:
     """The named files only, without a scan or a look at hashes; unknown languages and missing files are left out."""
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(root)
-    system = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    paths = [jvm.org.apache.hadoop.fs.Path(top, f) for f in dict.fromkeys(files)]
-    return read(spark, root, [p.toString() for p in paths if system.exists(p) and system.getFileStatus(p).isFile()])
+    found = [_system(spark, f"{root.rstrip('/')}/{f}") for f in dict.fromkeys(files)]
+    return read(spark, root, [system.getFileStatus(p).getPath().toString() for system, p in found if system.exists(p) and system.getFileStatus(p).isFile()])
 
 
 def changes(files: DataFrame, hashes: DataFrame) -> DataFrame:
