@@ -109,7 +109,7 @@ def range_starts(keys: DataFrame, most: int = MOST_RANGES, a_task: int = RANGES_
 def range_of(key: Column, starts: list[int]) -> Column:
     """The number of range starts at or below the key: a binary search in a constant array."""
     if not starts:
-        return F.lit(0)
+        return F.when(key.isNull(), 0).otherwise(0)  # no literal: a number to group by would be a position
     listed = F.expr(f"cast(split('{','.join(map(str, starts))}', ',') as array<bigint>)")
     half = lambda acc: F.shiftright(acc["lo"] + acc["hi"], 1)
     # Of lo .. hi, hi is the first start above the key, or the number of starts.
