@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftline.functions import projects, render, views
 from weftline.functions.lineage import checkpoint_dir, indexed, settle
 from weftline.functions.views import table
-from weftline.operators import impact, overview, routes, search
+from weftline.operators import impact, overview, routes, search, traverse
 from weftline.plans import snapshot
 from weftline.sources import extract, files
 from weftline.streaming import changelog, listing
@@ -143,6 +143,23 @@ def impact_chart_lines(spark, d):
     return spark.createDataFrame(list(enumerate(lines)), "pos long, line string")
 
 
+def tree_lines(spark, d):
+    """The text tree around an event type, line by line."""
+    found = traverse.subgraph(views.event_edges(spark, d), "click", "both", 2)
+    nodes = [{"id": r["id"], "is_public": 1, "is_test": 0} for r in found.nodes.select("id").collect()]
+    edges = [r.asDict() for r in found.ordered_edges().select("src", "dst", "kind", "confidence").collect()]
+    return spark.createDataFrame(list(enumerate(render.tree("click", nodes, edges, []).splitlines())), "pos long, line string")
+
+
+def impact_tree_lines(spark, d):
+    """Headings and dependents of the text tree of an answer."""
+    from weftline.queries import MIDDLE
+
+    risks = settle(_impact(spark, d, MIDDLE, 1))
+    text = render.impact_tree(MIDDLE, [r.asDict() for r in impact.ranked(risks).collect()], impact.summary(risks).first().asDict())
+    return spark.createDataFrame(list(enumerate(x for x in text.splitlines() if "▲" in x or "──" in x)), "pos long, line string")
+
+
 def project_map_rows(spark, d):
     """The whole overview as rows."""
     from weftline.queries import _star
@@ -207,6 +224,8 @@ def queries() -> dict:
         "edges_appended": edges_appended,
         "impact_positions": impact_positions,
         "impact_chart_lines": impact_chart_lines,
+        "tree_lines": tree_lines,
+        "impact_tree_lines": impact_tree_lines,
         "project_map_rows": project_map_rows,
         "file_scope_rows": file_scope_rows(False),
         "file_scope_rows_compat": file_scope_rows(True),
@@ -284,6 +303,25 @@ UNION ALL SELECT 'edge', src, dst, file FROM e1 WHERE {kept} UNION ALL SELECT 'e
         "edges_appended": f"WITH {q._E} SELECT src, dst, kind, CASE WHEN kind = 'calls' THEN confidence ELSE 1.0 END AS confidence, CAST(1 AS BIGINT) AS weight, CAST(NULL AS VARCHAR) AS scope, CAST(NULL AS VARCHAR) AS detail FROM e WHERE kind <> 'asserts_on'",
         "impact_positions": f"WITH {q._EF}, {q._N},\n{q._walk_sql(q.ROOT, 'callers', 4)},\n{risk.replace('n.is_test,', 'n.is_test, r.rk,', 1)}\nSELECT row_number() OVER (ORDER BY round_even(score, 4) DESC, distance, rk) - 1 AS pos, symbol, round_even(score, 4) AS risk_score FROM risk",
         "impact_chart_lines": f"WITH {q._EF}, {q._N},\n{q._walk_sql(q.MIDDLE, 'callers', 1)},\n{middle.replace('n.is_test,', 'n.is_test, r.rk,', 1)},\no AS (SELECT *, row_number() OVER (ORDER BY round_even(score, 4) DESC, distance, rk) - 1 AS i FROM risk) SELECT 2 * i + 1 AS pos, '    R' || i || '[\"' || symbol || CASE WHEN is_test = 1 THEN ' ⚠' ELSE '' END || '<br/>risk: ' || CAST(round_even(score, 4) AS VARCHAR) || '\"]:::' || CASE WHEN round_even(score, 4) > 0.7 THEN 'high' WHEN round_even(score, 4) >= 0.3 THEN 'medium' ELSE 'low' END AS line FROM o UNION ALL SELECT 2 * i + 2, '    ROOT --> R' || i FROM o UNION ALL SELECT 0, '    ROOT[\"{q.MIDDLE}\"]:::changed'",
+        "tree_lines": f"""WITH {q._V},
+{q._walk_sql("click", "both", 2)},
+s AS (SELECT *, row_number() OVER (ORDER BY hops, prk, o, eid) AS ix FROM seen),
+nb AS (SELECT near, side, far, min(ix) AS ix FROM (SELECT dst AS near, 0 AS side, src AS far, ix FROM s UNION ALL SELECT src, 1, dst, ix FROM s) GROUP BY ALL),
+f AS (SELECT side, far, row_number() OVER (ORDER BY side, ix) AS i, count(*) OVER () AS n FROM nb WHERE near = 'click'),
+g AS (SELECT f.i, f.n, nb.side, nb.far, row_number() OVER (PARTITION BY f.i ORDER BY nb.side, nb.ix) AS j FROM f JOIN nb ON nb.near = f.far AND nb.far <> 'click'),
+h AS (SELECT *, max(j) OVER (PARTITION BY i) AS m FROM g WHERE j <= 5),
+l AS (SELECT 0 AS i, 0 AS j, 'click (root)' AS line UNION ALL SELECT i, 0, CASE WHEN i = n THEN '└' ELSE '├' END || '── ' || CASE side WHEN 0 THEN '←' ELSE '→' END || ' ' || far || ' [calls, 1.0]' FROM f
+  UNION ALL SELECT i, j, CASE WHEN i = n THEN ' ' ELSE '│' END || '   ' || CASE WHEN j = m THEN '└' ELSE '├' END || '── ' || CASE side WHEN 0 THEN '←' ELSE '→' END || ' ' || far || ' [calls, 1.0]' FROM h)
+SELECT row_number() OVER (ORDER BY i, j) - 1 AS pos, line FROM l""",
+        "impact_tree_lines": f"""WITH {q._EF}, {q._N},
+{q._walk_sql(q.MIDDLE, "callers", 1)},
+{middle.replace("n.is_test,", "n.is_test, r.rk,", 1)},
+o AS (SELECT *, round_even(score, 4) AS shown, row_number() OVER (ORDER BY round_even(score, 4) DESC, distance, rk) AS i FROM risk),
+p AS (SELECT *, CASE WHEN shown > 0.7 THEN 1 WHEN shown >= 0.3 THEN 2 ELSE 3 END AS level FROM o),
+c AS (SELECT level, level = 3 OR (level = 2 AND NOT EXISTS (SELECT 1 FROM p WHERE level = 3)) AS closes FROM p GROUP BY level),
+l AS (SELECT level, 0 AS i, CASE WHEN level = 1 THEN '┌' WHEN closes THEN '└' ELSE '├' END || CASE level WHEN 1 THEN '{render._HEADINGS["high"]}' WHEN 2 THEN '{render._HEADINGS["medium"]}' ELSE '{render._HEADINGS["low"]}' END AS line FROM c
+  UNION ALL SELECT p.level, i, CASE WHEN closes THEN ' ' ELSE '│' END || ' ▲ ' || CAST(shown AS VARCHAR) || repeat(' ', greatest(0, 5 - length(CAST(shown AS VARCHAR)))) || '  ' || symbol || CASE WHEN is_test = 1 THEN ' ⚠ TEST' ELSE '' END FROM p JOIN c ON c.level = p.level)
+SELECT row_number() OVER (ORDER BY level, i) - 1 AS pos, line FROM l""",
         "project_map_rows": f"WITH {q._EF}, {q._N}, t AS (SELECT count(*) AS total, count(*) FILTER (EXISTS (SELECT 1 FROM e WHERE e.kind = 'asserts_on' AND e.dst = n.id)) AS covered FROM n WHERE {callable_} AND is_public = 1)\n"
         + "\nUNION ALL ".join(
             [
