@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all
 but the last return the columns of docs.  ``run`` writes each stage as Parquet in the shared
-folder and reads it again, so a lost executor costs at most the stage under way.
+folder and reads it again, so a lost executor costs at most the stage under way; what a stage
+wrote on its way, and the result of the stage before, are removed once its own is written.
 
 1. language: documents whose language cannot be told, or is none of those learned, go.
 2. near_duplicates: of each class of documents linked by five-word shingles at a similarity
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import decontaminate, jaccard, language, mixing, pii
-from weftline.llm.spill import table
+from weftline.llm.spill import Scope, release, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,6 +62,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = table(stage(spark, docs, sf_dir))
+    with Scope(spark) as made:
+        for _, stage in STAGES:
+            docs = table(stage(spark, docs, sf_dir))
+            made.keep_last()
+            release(spark)
     return docs
