@@ -16,14 +16,20 @@ Method: size-banded tiles with hashed bitmap signatures.
     intersected, and every link between still unconnected documents is found.
 4.  Components of the verified links are the classes.
 
-Copies with equal sets that a task meets again are linked at once and go no further, so a
-group of copies reaches the shuffle with a row for each task.  Nothing is dropped, capped
-or sampled.  The list of frequent elements is bounded by a share of the corpus (at most
-``avg size / (FREQUENT / 4)`` entries for any corpus) and only sets an order.
+Copies with equal sets that a task meets again are linked at once and go no further; those
+of different tasks are found by the digests of their sets, and only the one with the
+smallest id has its bitmap and array compared.  Nothing is dropped, capped or sampled.  The list of frequent elements is bounded by a share of the corpus (at most
+``avg size / (FREQUENT / 4)`` entries for any corpus) and only sets an order and how tiles
+are counted: those of frequent elements by partial sums that are sent to all tasks (a row
+for each entry), so that no task gathers the documents of one; the others travel as packed
+arrays in hash buckets of about ``PAIRS`` each.  Blocks of tiles are bounded by rows and by
+bytes of bitmaps.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; fewer
 words than a shingle make one shingle; rows with the same id are one document in links and
 keep a row each; a null id is never linked and its class is null; other columns are not read.
+``keep_first`` judges rows: where an id repeats, each of its rows is linked, kept or removed
+by its own text.
 """
 
 from __future__ import annotations
@@ -33,12 +39,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import textblocks as tb
 from weftline.llm.components import components
-from weftline.llm.spill import release, table
+from weftline.llm.sieve import Sieve
+from weftline.llm.spill import release, settle, table
 
 WIDTH = 5
 #: The least similarity, as a fraction of integers.
@@ -46,12 +54,14 @@ NUMER, DENOM = 4, 5
 #: Elements that about this share of documents have are put last in the order.
 FREQUENT = 0.005
 FREQUENT_ENTRIES = 500_000
-#: Rows of a tile, and shingles of an exact tile, beyond which it is dealt into blocks.
-TILE_ROWS, TILE_SHINGLES = 4096, 3_000_000
-_CHUNK = 2_000_000
-_SEEN = 200_000
+#: Rows and bytes of bitmaps of a tile, and shingles of an exact tile, beyond which it is dealt into blocks.
+TILE_ROWS, TILE_BYTES, TILE_SHINGLES = 4096, 16 << 20, 3_000_000
+#: Elements of prefixes, each with its document, in a bucket in which tiles are told.
+PAIRS, MOST_TASKS = 1 << 19, 50_000
+_CHUNK, _PACKED = 1_000_000, 500_000
+_SEEN = 100_000
 
-BASE = "row_key long, n_shingles int, same_as long, bits binary, keys array<long>"
+BASE = "row_key long, n_shingles int, same_as long, bits binary, keys array<long>, late int, print binary"
 
 
 def sets_of(offsets: np.ndarray, data: np.ndarray, width: int) -> list[np.ndarray]:
@@ -119,12 +129,12 @@ def _signer(width: int, numer: int, denom: int, frequent_of):
             for key, s in zip(keys.to_pylist(), sets_of(offsets, data, width)):
                 n = len(s)
                 if not n or key is None:
-                    out.append((key, n, None, None, None))
+                    out.append((key, n, None, None, None, None, None))
                     continue
                 print_ = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 same = seen.get(print_)
                 if same is not None:
-                    out.append((key, n, same, None, None))
+                    out.append((key, n, same, None, None, None, None))
                     continue
                 if len(seen) >= _SEEN:
                     seen.clear()
@@ -136,14 +146,82 @@ def _signer(width: int, numer: int, denom: int, frequent_of):
                     ordered = np.concatenate([s[~late], s[late]])
                 else:
                     ordered = s
-                out.append((key, n, None, signature(s), ordered[:length].view(np.int64)))
+                out.append((key, n, None, signature(s), ordered[:length].view(np.int64), max(0, length - int(n - late.sum())), print_))
             cols = list(zip(*out))
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["row_key", "n_shingles", "same_as", "bits", "keys"])
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[c.split()[0] for c in BASE.split(", ")])
 
     return sign
 
 
+PACKED = "bucket int, least long, rows binary, sizes binary, keys binary"
+
+
+def _packer(buckets: int):
+    """From rows (row_key, size, keys): the elements of prefixes by hash bucket, with the document and the binary order of its bitmap's size, packed."""
+
+    def packed(rows: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        bucket = (tb.mix(keys) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        rows, sizes, keys, bucket = rows[order], sizes[order], keys[order], bucket[order]
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        least = int(rows.min())
+        moved = rows - least
+        moved = moved.astype(np.uint32) if moved.max() < 1 << 32 and int(rows.max()) - least < 1 << 32 else moved
+        part = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array([least] * (len(cuts) - 1), pa.int64()), part(moved), part(sizes), part(keys)], names=["bucket", "least", "rows", "sizes", "keys"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            counts = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
+            keys = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            order = np.array([max(0, int(x) - 1).bit_length() for x in batch.column(1).to_pylist()], np.uint8)
+            held.append((np.repeat(batch.column(0).to_numpy(), counts), np.repeat(order, counts), keys))
+            n += len(keys)
+            if n >= _PACKED:
+                yield packed(*map(np.concatenate, zip(*held)))
+                held, n = [], 0
+        if n:
+            yield packed(*map(np.concatenate, zip(*held)))
+
+    return pack
+
+
+def _told(tile_rows: int, tile_bytes: int):
+    """From packed rows sorted by bucket: (s, t, blocks, row_key) of each document of each tile, tiles of the same documents once."""
+
+    def told_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket in runs(batches, 1):
+            parts = list(zip(*(bucket.column(i).to_pylist() for i in range(1, 5))))
+            keys = np.concatenate([np.frombuffer(k, np.uint64) for *_, k in parts])
+            rows = np.concatenate([np.frombuffer(r, np.int64 if len(r) == len(k) else np.uint32).astype(np.int64) + least for least, r, _, k in parts])
+            sizes = np.concatenate([np.frombuffer(s, np.uint8) for *_, s, _ in parts])
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            m = np.diff(np.append(begins, len(keys)))
+            # Only elements of two documents and more make a tile.
+            order = order[np.repeat(m > 1, m)]
+            m = m[m > 1]
+            if not len(m):
+                continue
+            begins = np.concatenate([[0], np.cumsum(m)[:-1]])
+            rows, sizes = rows[order], sizes[order]
+            hashed = tb.mix(rows.view(np.uint64))
+            s, t = np.add.reduceat(hashed, begins), np.add.reduceat(tb.mix(hashed + np.uint64(7)), begins)
+            blocks = np.maximum(-(-m // tile_rows), -(-np.add.reduceat(1 << sizes.astype(np.int64), begins) // tile_bytes))
+            # Elements with the same documents make one tile.
+            by = np.lexsort((t, s))
+            once = np.zeros(len(s), dtype=bool)
+            once[by] = np.concatenate([[True], (s[by][1:] != s[by][:-1]) | (t[by][1:] != t[by][:-1])])
+            rows, m = rows[np.repeat(once, m)], m[once]
+            columns = [np.repeat(x[once], m) for x in (s.view(np.int64), t.view(np.int64), blocks.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, rows)], names=["s", "t", "blocks", "row_key"])
+
+    return told_of
+
+
 class Group:
     """Documents of one tile, by ascending id, with bitmaps by width."""
 
@@ -256,15 +334,19 @@ def _tiles(numer: int, denom: int):
     return join
 
 
-def _arrays(width: int):
+def _arrays(width: int, map_of, hit):
+    """Sets of the documents (row_key, text, place) that may be among those of a sieve."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = map_of.value
         for batch in batches:
+            batch = batch.filter(pa.array(hit(bitmap, batch.column(2))))
             offsets, data = tb.string_parts(batch.column(1))
             for a, b in tb.blocks(offsets):
                 sets = sets_of(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]], width)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(a, b - a) for i in (0, 2)), pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) if len(s) else b"\0" * 8 for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["row_key", "tiles", "n", "bits", "elements"],
+                    [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) if len(s) else b"\0" * 8 for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    names=["row_key", "n", "bits", "elements"],
                 )
 
     return make
@@ -306,16 +388,30 @@ def _dealt(rows: DataFrame, blocks: F.Column, on: str) -> DataFrame:
     return rows.withColumn("ij", pairs)
 
 
-def _coarse_classes(base: DataFrame, numer: int, denom: int) -> DataFrame:
-    """(id, component) by the forests of all tiles: no link leaves such a class."""
-    # Tiles of two documents and more.
-    by_key = Window.partitionBy("key")
-    met = base.where("keys is not null").select("row_key", F.explode("keys").alias("key"))
-    # Copies share very many elements: tiles of the same documents (by two hashes of the set of their ids) become one.
-    met = met.withColumns({"m": F.count("*").over(by_key), "s": F.bit_xor(F.xxhash64("row_key")).over(by_key), "t": F.bit_xor(F.xxhash64(F.lit(7), "row_key")).over(by_key)})
-    met = met.where("m > 1").select("s", "t", "m", "row_key").distinct()
-    met = _dealt(met, F.ceil(F.col("m") / F.lit(TILE_ROWS)), "row_key").select("s", "t", "row_key", F.explode("ij").alias("ij"))
-    met = met.join(base.where("keys is not null").select("row_key", "n_shingles", "bits"), "row_key")
+def _equal_sets(base: DataFrame) -> DataFrame:
+    """(row_key, first, print) of rows whose set another task has met too, under a smaller id: the first."""
+    rows = base.where("print is not null").select("row_key", "print")
+    first = rows.groupBy("print").agg(F.min("row_key").alias("first"), F.max("row_key").alias("last")).where("first < last").select("print", "first")
+    return rows.join(first, "print").where("row_key <> first")
+
+
+def _coarse_classes(base: DataFrame, equal: DataFrame, numer: int, denom: int) -> DataFrame:
+    """(id, component) by the forests of all tiles: no link leaves such a class, but those of equal sets."""
+    # Tiles of two documents and more, told by two hashes of the set of their ids: copies share very many elements, and tiles of the same documents become one.
+    of = {"m": F.count("*"), "s": F.bit_xor(F.xxhash64("row_key")), "t": F.bit_xor(F.xxhash64(F.lit(7), "row_key")), "w": F.sum("size")}
+    blocks = F.greatest(F.ceil(F.col("m") / F.lit(TILE_ROWS)), F.ceil(F.col("w") / F.lit(TILE_BYTES))).cast("int").alias("blocks")
+    rows = base.where("keys is not null").select("row_key", F.octet_length("bits").cast("long").alias("size"), "keys", (F.size("keys") - F.col("late")).alias("first"), "late")
+    buckets = -(-rows.agg(F.coalesce(F.sum("first"), F.lit(0))).first()[0] // PAIRS) or 1
+    packed = rows.where("first > 0").select("row_key", "size", F.slice("keys", F.lit(1), F.col("first")).alias("keys")).mapInArrow(_packer(buckets), PACKED)
+    some = packed.repartition(min(buckets, MOST_TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(_told(TILE_ROWS, TILE_BYTES), "s long, t long, blocks int, row_key long")
+    # Each of the frequent elements gets a row of sums, at most FREQUENT_ENTRIES of them.
+    late = rows.where("late > 0").select("row_key", "size", F.explode(F.slice("keys", F.col("first") + 1, F.col("late"))).alias("key"))
+    sums = late.groupBy("key").agg(*(v.alias(k) for k, v in of.items())).where("m > 1")
+    many = late.join(F.broadcast(sums), "key").select("s", "t", blocks, "row_key")
+    met = some.unionByName(many).distinct()
+    met = _dealt(met, F.col("blocks"), "row_key").select("s", "t", "row_key", F.explode("ij").alias("ij"))
+    bits = base.where("keys is not null").select("row_key", "n_shingles", "bits", "print").join(equal.select("row_key", F.col("print").alias("as")), "row_key", "left")
+    met = met.join(bits.where("`as` is null or `as` <> print"), "row_key")
     tiles = met.select("s", "t", "ij.i", "ij.j", "row_key", "n_shingles", "bits").repartition("s", "t", "i", "j").sortWithinPartitions("s", "t", "i", "j", "row_key")
     return components(tiles.mapInArrow(_tiles(numer, denom), "a long, b long"))
 
@@ -327,7 +423,9 @@ def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
     frequent = spark.sparkContext.broadcast(frequent_elements(narrow, width))
     base = table(narrow.mapInArrow(_signer(width, numer, denom, frequent), BASE))
 
-    coarse = _coarse_classes(base, numer, denom)
+    release(spark)
+    equal = settle(_equal_sets(base))
+    coarse = _coarse_classes(base, equal, numer, denom)
     release(spark)
 
     # Exact tiles of each coarse class.
@@ -342,13 +440,15 @@ def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
     banded = member.groupBy("component", "band").agg(F.sum("n").alias("in_band"))
     member = _dealt(member.join(banded, ["component", "band"]), F.ceil(F.col("in_band") / F.lit(TILE_SHINGLES)), "id")
     member = member.groupBy("id").agg(F.flatten(F.collect_list(F.transform("ij", lambda p: F.struct("component", "band", p["i"].alias("i"), p["j"].alias("j"))))).alias("tiles"))
-    found = narrow.join(member.withColumnRenamed("id", "row_key"), "row_key").select("row_key", "text", "tiles")
-    tiles_type = "array<struct<component:bigint,band:int,i:int,j:int>>"
-    arrays = found.mapInArrow(_arrays(width), f"row_key long, tiles {tiles_type}, n int, bits binary, elements binary").where("n > 0")
-    exact = arrays.select(F.explode("tiles").alias("t"), "row_key", "n", "bits", "elements").select("t.component", "t.band", "t.i", "t.j", "row_key", "n", "bits", "elements")
+    # Sorted arrays are made where texts are read, of documents that may be in a class; texts never move.
+    sieve = Sieve(coarse.select("id").unionByName(coarse.select(F.col("component").alias("id")).distinct()), "id")
+    near = narrow.where("row_key is not null").withColumn("place", sieve.place(F.col("row_key")))
+    arrays = near.mapInArrow(_arrays(width, sieve.map, sieve.hit), "row_key long, n int, bits binary, elements binary").where("n > 0")
+    # Both sides grow with the corpus, so the plan is the same at every size.
+    exact = arrays.join(member.withColumnRenamed("id", "row_key").hint("merge"), "row_key").select(F.explode("tiles").alias("t"), "row_key", "n", "bits", "elements").select("t.component", "t.band", "t.i", "t.j", "row_key", "n", "bits", "elements")
     exact = exact.repartition("component", "band", "i", "j").sortWithinPartitions("component", "band", "i", "j", "row_key")
     links = exact.mapInArrow(_exact_tiles(numer, denom), "a long, b long")
-    copies = base.where("same_as is not null").select(F.col("row_key").alias("a"), F.col("same_as").alias("b"))
+    copies = base.where("same_as is not null").select(F.col("row_key").alias("a"), F.col("same_as").alias("b")).unionByName(equal.select(F.col("row_key").alias("a"), F.col("first").alias("b")))
     return base.select("row_key", "n_shingles"), components(links.unionByName(copies))
 
 
@@ -360,7 +460,31 @@ def contract(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each class, that with the smallest id; rows that link with nothing stay."""
-    _, classes = link(docs, key=key, text=text)
-    release(docs.sparkSession)
-    return docs.join(classes.select(F.col("id").alias(key)), key, "left_anti").select(*docs.columns)
+    """docs with one document of each class, that with the smallest id; rows that link with nothing stay, and so do rows without an id.
+
+    Where ids repeat, rows are numbered first (which keeps a copy of the stage's input in the
+    shared folder) and judged each by its own text: of identical rows one stays.
+    """
+    spark, names = docs.sparkSession, docs.columns
+    if docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
+        _, classes = link(docs, key=key, text=text)
+        release(spark)
+        return _without(docs, classes.select(F.col("id").alias(key)), key)
+    row = "row_"
+    while row in {c.lower() for c in names}:
+        row += "_"
+    numbered = table(docs.withColumn(row, F.when(F.col(key).isNotNull(), F.monotonically_increasing_id())))
+    _, classes = link(numbered, key=row, text=text)
+    release(spark)
+    member = classes.unionByName(classes.select(F.col("component").alias("id"), "component").distinct())
+    member = member.join(numbered.select(F.col(row).alias("id"), F.col(key).alias("own")), "id")
+    first = member.groupBy("component").agg(F.min(F.struct("own", "id")).alias("first"))
+    gone = member.join(first, "component").where("id <> first.id").select(F.col("id").alias(row))
+    return _without(numbered, gone, row).select(*names)
+
+
+def _without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """docs without the keys in gone; only rows that may be among them are moved."""
+    sieve = Sieve(gone, key)
+    moved = sieve.rows(docs, key, True).join(gone, key, "left_anti").select(*docs.columns)
+    return sieve.rows(docs, key, False).unionByName(moved)

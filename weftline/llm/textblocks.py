@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 _SEED = np.random.default_rng(20240607)
 #: One random 64-bit value for each byte, the alphabet of the polynomial word hash.
 BYTE_VALUES = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -41,7 +41,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. n-1 modulo 2**64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        steps = np.full(max(n, BLOCK_BYTES + 1), base, dtype=np.uint64)
+        steps = np.full(n if n <= 64 else max(n, BLOCK_BYTES + 1), base, dtype=np.uint64)
         steps[0] = 1
         have = _powers[base] = np.multiply.accumulate(steps)
     return have[:n]
@@ -52,7 +52,7 @@ def prime_powers(base: int, prime: int, n: int) -> np.ndarray:
     have = _powers.get((base, prime))
     if have is None or len(have) < n:
         size = max(n, BLOCK_BYTES + 1)
-        have = np.ones(size, dtype=np.uint64)
+        have = np.ones(size, dtype=np.uint32)
         done = 1
         while done < size:
             step = np.uint64(pow(base, done, prime))
@@ -65,7 +65,7 @@ def prime_powers(base: int, prime: int, n: int) -> np.ndarray:
 def run_sums(values: np.ndarray, prime: int, base: int, longest: int) -> np.ndarray:
     """Prefix sums from which ``run_hash`` takes the polynomial of any run of at most ``longest`` values (below 2**9, or else reduced) modulo a prime."""
     inverse = pow(base, -1, prime)
-    terms = values * prime_powers(inverse, prime, len(values))
+    terms = np.multiply(values, prime_powers(inverse, prime, len(values)), dtype=np.uint64)
     if longest > _EXACT_RUN:
         terms %= np.uint64(prime)
     sums = np.zeros(len(values) + 1, dtype=np.uint64)
@@ -146,7 +146,7 @@ def words_of(offsets: np.ndarray, data: np.ndarray, is_word: np.ndarray, fold: b
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((FOLDED_VALUES if fold else BYTE_VALUES)[data] * powers(_BASE_INV, n), out=sums[1:])
     hashed = (sums[end] - sums[start]) * powers(_BASE, n)[start] + (end - start).astype(np.uint64)
-    values = (FOLD if fold else np.arange(256, dtype=np.uint8))[data].astype(np.uint64) + np.uint64(1)
+    values = (FOLD if fold else np.arange(256, dtype=np.uint8))[data].astype(np.uint16) + np.uint16(1)
     longest = int((end - start).max()) if len(start) else 0
     for prime, base in PRIMES:
         hashed = mix(hashed) + run_hash(run_sums(values, prime, base, longest), start, end, prime, base)
