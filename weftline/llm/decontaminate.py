@@ -13,7 +13,7 @@ and pairs.  Documents with a hit are affected and can be removed.
 
 The shards need no shuffle.  The test set travels to the executors in blocks of at
 most ``MAX_TEST_BYTES`` of text, ``BLOCKS_SENT`` of them at a time; a worker holds the index
-of one block (about 250 bytes a word) and up to ``HELD_BYTES`` of documents, which it takes
+of one block (600 bytes a word while it is made, some 190 MB for a block) and up to ``HELD_BYTES`` of documents, which it takes
 through the blocks in turn.  A larger test set takes several rounds, with what rows have so
 far kept in the shared folder between them; so what is broadcast and what a worker holds
 have bounds for a test set of any size (an item longer than a block is a block of its own).
@@ -42,7 +42,7 @@ from weftline.llm.spill import table
 WINDOW = 10
 #: Suffixes are compared word by word for so many words, and by hashes beyond.
 DEPTH = 16
-MAX_TEST_BYTES, BLOCKS_SENT = 4 << 20, 32
+MAX_TEST_BYTES, BLOCKS_SENT = 2 << 20, 32
 #: Documents that meet one block's index before it makes way for the next, where there are several.
 HELD_BYTES = 64 << 20
 _BITS = 20
