@@ -14,7 +14,9 @@ a seeded hash, and the epoch's prefix up to the rest is taken: documents that be
 it, the one that crosses it whole.  The line is found by hash buckets: sums of buckets are
 aggregated first, and only the bucket with the line is ordered, so no leaf is ever one
 window, though it hold a third of all rows.  Selection then is a comparison with the line
-of the leaf, and texts are never shuffled.
+of the leaf.  A plan of up to ``LEAVES_SENT`` leaves is sent to all tasks, and texts are not
+shuffled; of a larger one, narrow rows meet the plan (a hot leaf is split by the skew rule),
+and texts meet what was chosen by their keys, never by their leaf.
 
 Defined cases: a null language, source or domain is a node named "(none)"; empty and null
 texts have no tokens and are taken in whole epochs, and in the prefix where they fall in it;
@@ -28,12 +30,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.spill import table
+from weftline.llm.spill import release, table
 
 LEVELS = ("domain", "lang", "source")
 #: Production parameters of the registered query and of the pipeline's last stage.
 SEED = 17
 EPOCHS = 3
+#: Leaves (rows of a few dozen bytes and three names) that may be broadcast.
+LEAVES_SENT = 50_000
 BUDGET_SHARE = (3, 5)
 WEIGHTS: dict[str, dict[str, int]] = {
     "domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1},
@@ -99,7 +103,9 @@ def _order(seed: int, epoch: Column, key: Column) -> Column:
 def plan(rows: DataFrame, *, seed: int = SEED, **how) -> DataFrame:
     """A row for each leaf: whole epochs, and the line (order, key) up to which the next epoch is taken; rows are (row_key, domain, lang, source, n_tokens)."""
     keys = list(LEVELS)
-    leaves = table(budgets(rows.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")), **how))
+    supply = table(rows.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")))
+    # Few leaves are one partition, which needs no exchange at any level; more are dealt by parent.
+    leaves = table(budgets(supply.coalesce(1) if supply.limit(LEAVES_SENT + 1).count() <= LEAVES_SENT else supply, **how))
     partly = leaves.where("rest > 0").select(*keys, "epochs", "rest")
     some = rows.join(partly, keys).withColumn("order", _order(seed, F.col("epochs"), F.col("row_key"))).withColumn("bucket", F.substring("order", 1, 3))
     sums = some.groupBy(*keys, "rest", "bucket").agg(F.sum("n_tokens").alias("in_bucket"))
@@ -110,17 +116,27 @@ def plan(rows: DataFrame, *, seed: int = SEED, **how) -> DataFrame:
     before = Window.partitionBy(*keys).orderBy("order", "row_key").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("at", F.col("start") + F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).where("at < rest")
     lines = inside.groupBy(*keys).agg(F.max(F.struct("order", "row_key")).alias("line"))
+    release(rows.sparkSession)
     return leaves.join(lines, keys, "left").select(*keys, "tokens", "budget", "epochs", "line")
 
 
-def take(docs: DataFrame, leaf_plan: DataFrame, leaf: list[Column], *, key: str = "doc_id", seed: int = SEED) -> DataFrame:
+def take(docs: DataFrame, leaf_plan: DataFrame, leaf: list[Column], *, key: str = "doc_id", seed: int = SEED, sent: int = LEAVES_SENT) -> DataFrame:
     """docs that the plan takes, with ``copies`` (a column of that name is replaced); ``leaf`` gives domain, language and source of a row."""
     names = docs.columns
-    inner = docs.select(F.struct(*(F.col(c) for c in names)).alias("row"), *(c.alias(n) for c, n in zip(leaf, LEVELS)), F.col(key).cast("long").alias("row_key"))
-    joined = inner.join(leaf_plan.select(*LEVELS, "epochs", "line"), list(LEVELS))
+    own = [*(c.alias(n) for c, n in zip(leaf, LEVELS)), F.col(key).cast("long").alias("row_key")]
+    lines = leaf_plan.select(*LEVELS, "epochs", "line")
     in_prefix = F.struct(_order(seed, F.col("epochs"), F.col("row_key")).alias("order"), F.col("row_key")) <= F.col("line")
-    joined = joined.withColumn("copies", F.col("epochs") + F.coalesce(in_prefix, F.lit(False)).cast("int")).where("copies > 0")
-    return joined.select(*(F.col("row")[c].alias(c) for c in names if c.lower() != "copies"), "copies")
+    copies = (F.col("epochs") + F.coalesce(in_prefix, F.lit(False)).cast("int")).alias("copies")
+    inner = docs.select(F.struct(*(F.col(c) for c in names)).alias("row"), *own)
+    if leaf_plan.limit(sent + 1).count() <= sent:
+        taken = inner.join(F.broadcast(lines), list(LEVELS)).select("row", copies)
+    else:
+        chosen = docs.select(*own).distinct().join(lines, list(LEVELS)).select(*(F.col(c).alias(f"c_{c}") for c in (*LEVELS, "row_key")), copies).where("copies > 0")
+        same = F.lit(True)
+        for c in (*LEVELS, "row_key"):
+            same = same & F.col(c).eqNullSafe(F.col(f"c_{c}"))
+        taken = inner.join(chosen, same).select("row", "copies")
+    return taken.where("copies > 0").select(*(F.col("row")[c].alias(c) for c in names if c.lower() != "copies"), "copies")
 
 
 def leaf_of(lang: str = "lang", source: str = "source") -> list[Column]:
@@ -136,6 +152,7 @@ def narrow_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", seed: int = SEED, **how) -> DataFrame:
     """The documents of the mix, unchanged, with ``copies``: how often each is taken."""
     leaf_plan = table(plan(narrow_rows(docs, key, text), seed=seed, **how))
+    release(docs.sparkSession)
     return take(docs, leaf_plan, leaf_of(), key=key, seed=seed)
 
 
