@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -162,6 +163,13 @@ class Store:
 
     # --- writing --------------------------------------------------------------------------
 
+    @staticmethod
+    def _together(*acts) -> None:
+        """Runs acts in threads of the driver; the first error is raised once all have ended."""
+        with ThreadPoolExecutor(len(acts)) as pool:
+            for done in [pool.submit(act) for act in acts]:
+                done.result()
+
     def _write(self, version: str, name: str, rows: DataFrame, touched: set[int], manifest: dict) -> None:
         """Puts rows, which are all of the touched buckets, into new folders of a manifest to be."""
         rows.withColumn("bucket", _bucket(F.col("file"), manifest["buckets"])).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{version}/{name}")
@@ -200,13 +208,13 @@ class Store:
         fresh = nodes.dropDuplicates(["id"]) if "seq" not in nodes.columns else last_wins(nodes, ["id"], "seq").drop("seq")
         rows = {"nodes": upsert(kept_nodes, fresh, "id"), "edges": kept_edges.unionByName(edges), "file_hashes": kept_hashes.unionByName(hashes)}
         gen = int(version[1:].partition("-")[0])
-        for name, schema in TABLES.items():
-            self._write(version, name, rows[name].select(*schema.names), every if name == "edges" else touched, manifest)
+        # Small jobs of independent tables run beside each other.
+        self._together(*(lambda n=name, s=schema: self._write(version, n, rows[n].select(*s.names), every if n == "edges" else touched, manifest) for name, schema in TABLES.items()))
         written = self.read("nodes", manifest, touched)
         added = written.join(gone.select("file"), "file", "left_semi")
-        self._index(version, added, manifest)
         lengths = self.read("lengths", manifest, touched).join(written.select("id", "file"), ["id", "file"], "left_semi").join(gone.select("file"), "file", "left_anti")
-        self._write(version, "lengths", lengths.unionByName(search.lengths(added, "id", list(SEARCHED), gen)).select(*LENGTHS.names), touched, manifest)
+        lengths = lengths.unionByName(search.lengths(added, "id", list(SEARCHED), gen)).select(*LENGTHS.names)
+        self._together(lambda: self._index(version, added, manifest), lambda: self._write(version, "lengths", lengths, touched, manifest))
         if len(manifest["postings"]) > GENERATIONS:
             self._merge(version, manifest, self.read("lengths", manifest))
         return self._commit(version, manifest)
