@@ -362,7 +362,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     rows, before = docs.select(F.col(key).cast("long").alias("row_key"), F.col(text).alias("text")), False
     wide = SCHEMA.replace("row_key long, ", "row_key long, text string, ", 1)
     for blocks, more in _rounds(docs.sparkSession, benchmark, item, item_text, limit):
-        rows = rows.mapInArrow(_searcher(blocks, more, before), wide if more else SCHEMA)
+        rows = rows.mapInArrow(tb.frugal(_searcher(blocks, more, before)), wide if more else SCHEMA)
         before = True
         if more:
             rows = table(rows)
@@ -380,7 +380,7 @@ def remove_affected(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id
     """docs without those in which a test window occurs.  Whole rows are kept or removed; a null key is kept apart and judged by its own text."""
     kept, at, schema = docs, docs.columns.index(text), docs.schema
     for blocks, more in _rounds(docs.sparkSession, benchmark, item, item_text, limit):
-        kept = kept.mapInArrow(_remover(blocks, at), schema)
+        kept = kept.mapInArrow(tb.frugal(_remover(blocks, at)), schema)
         if more:
             kept = table(kept)
             for b in blocks:

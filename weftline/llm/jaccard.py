@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from weftline.llm import textblocks as tb
 from weftline.llm.components import components
 from weftline.llm.sieve import Sieve
-from weftline.llm.spill import release, settle, table
+from weftline.llm.spill import arrow_rows, release, settle, table
 
 WIDTH = 5
 #: The least similarity, as a fraction of integers.
@@ -60,6 +60,8 @@ TILE_ROWS, TILE_BYTES, TILE_SHINGLES = 4096, 16 << 20, 3_000_000
 PAIRS, MOST_TASKS = 1 << 19, 50_000
 _CHUNK, _PACKED = 1_000_000, 500_000
 _SEEN = 100_000
+#: Documents that go to a Python worker at once.
+ARROW_ROWS = 1000
 
 BASE = "row_key long, n_shingles int, same_as long, bits binary, keys array<long>, late int, print binary"
 
@@ -113,7 +115,7 @@ def _frequent(width: int):
 def frequent_elements(narrow: DataFrame, width: int) -> np.ndarray:
     """Hashes that stand out in blocks of the corpus and in all of it, sorted.  Every document is read."""
     n = narrow.count()
-    counted = narrow.mapInArrow(_frequent(width), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    counted = narrow.mapInArrow(tb.frugal(_frequent(width)), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     top = counted.where(F.col("c") >= max(8.0, FREQUENT / 4 * n)).orderBy(F.desc("c"), "h").limit(FREQUENT_ENTRIES).select("h").toArrow()
     return np.sort(top.column(0).to_numpy().view(np.uint64)) if top.num_rows else np.zeros(0, np.uint64)
 
@@ -334,13 +336,9 @@ def _tiles(numer: int, denom: int):
     return join
 
 
-def _arrays(width: int, map_of, hit):
-    """Sets of the documents (row_key, text, place) that may be among those of a sieve."""
-
+def _arrays(width: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = map_of.value
         for batch in batches:
-            batch = batch.filter(pa.array(hit(bitmap, batch.column(2))))
             offsets, data = tb.string_parts(batch.column(1))
             for a, b in tb.blocks(offsets):
                 sets = sets_of(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]], width)
@@ -402,8 +400,8 @@ def _coarse_classes(base: DataFrame, equal: DataFrame, numer: int, denom: int) -
     blocks = F.greatest(F.ceil(F.col("m") / F.lit(TILE_ROWS)), F.ceil(F.col("w") / F.lit(TILE_BYTES))).cast("int").alias("blocks")
     rows = base.where("keys is not null").select("row_key", F.octet_length("bits").cast("long").alias("size"), "keys", (F.size("keys") - F.col("late")).alias("first"), "late")
     buckets = -(-rows.agg(F.coalesce(F.sum("first"), F.lit(0))).first()[0] // PAIRS) or 1
-    packed = rows.where("first > 0").select("row_key", "size", F.slice("keys", F.lit(1), F.col("first")).alias("keys")).mapInArrow(_packer(buckets), PACKED)
-    some = packed.repartition(min(buckets, MOST_TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(_told(TILE_ROWS, TILE_BYTES), "s long, t long, blocks int, row_key long")
+    packed = rows.where("first > 0").select("row_key", "size", F.slice("keys", F.lit(1), F.col("first")).alias("keys")).mapInArrow(tb.frugal(_packer(buckets)), PACKED)
+    some = packed.repartition(min(buckets, MOST_TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(tb.frugal(_told(TILE_ROWS, TILE_BYTES)), "s long, t long, blocks int, row_key long")
     # Each of the frequent elements gets a row of sums, at most FREQUENT_ENTRIES of them.
     late = rows.where("late > 0").select("row_key", "size", F.explode(F.slice("keys", F.col("first") + 1, F.col("late"))).alias("key"))
     sums = late.groupBy("key").agg(*(v.alias(k) for k, v in of.items())).where("m > 1")
@@ -413,15 +411,20 @@ def _coarse_classes(base: DataFrame, equal: DataFrame, numer: int, denom: int) -
     bits = base.where("keys is not null").select("row_key", "n_shingles", "bits", "print").join(equal.select("row_key", F.col("print").alias("as")), "row_key", "left")
     met = met.join(bits.where("`as` is null or `as` <> print"), "row_key")
     tiles = met.select("s", "t", "ij.i", "ij.j", "row_key", "n_shingles", "bits").repartition("s", "t", "i", "j").sortWithinPartitions("s", "t", "i", "j", "row_key")
-    return components(tiles.mapInArrow(_tiles(numer, denom), "a long, b long"))
+    return components(tiles.mapInArrow(tb.frugal(_tiles(numer, denom)), "a long, b long"))
 
 
 def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = WIDTH, numer: int = NUMER, denom: int = DENOM) -> tuple[DataFrame, DataFrame]:
     """(row_key, n_shingles) of every row, and (id, component) of every document that is not the first of its class."""
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        return _link(docs, key, text, width, numer, denom)
+
+
+def _link(docs: DataFrame, key: str, text: str, width: int, numer: int, denom: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     narrow = docs.select(F.col(key).cast("long").alias("row_key"), F.col(text).alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_elements(narrow, width))
-    base = table(narrow.mapInArrow(_signer(width, numer, denom, frequent), BASE))
+    base = table(narrow.mapInArrow(tb.frugal(_signer(width, numer, denom, frequent)), BASE))
 
     release(spark)
     equal = settle(_equal_sets(base))
@@ -441,13 +444,12 @@ def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
     member = _dealt(member.join(banded, ["component", "band"]), F.ceil(F.col("in_band") / F.lit(TILE_SHINGLES)), "id")
     member = member.groupBy("id").agg(F.flatten(F.collect_list(F.transform("ij", lambda p: F.struct("component", "band", p["i"].alias("i"), p["j"].alias("j"))))).alias("tiles"))
     # Sorted arrays are made where texts are read, of documents that may be in a class; texts never move.
-    sieve = Sieve(coarse.select("id").unionByName(coarse.select(F.col("component").alias("id")).distinct()), "id")
-    near = narrow.where("row_key is not null").withColumn("place", sieve.place(F.col("row_key")))
-    arrays = near.mapInArrow(_arrays(width, sieve.map, sieve.hit), "row_key long, n int, bits binary, elements binary").where("n > 0")
+    near = Sieve(coarse.select("id").unionByName(coarse.select(F.col("component").alias("id")).distinct()), "id").rows(narrow, "row_key", True)
+    arrays = near.mapInArrow(tb.frugal(_arrays(width)), "row_key long, n int, bits binary, elements binary").where("n > 0")
     # Both sides grow with the corpus, so the plan is the same at every size.
     exact = arrays.join(member.withColumnRenamed("id", "row_key").hint("merge"), "row_key").select(F.explode("tiles").alias("t"), "row_key", "n", "bits", "elements").select("t.component", "t.band", "t.i", "t.j", "row_key", "n", "bits", "elements")
     exact = exact.repartition("component", "band", "i", "j").sortWithinPartitions("component", "band", "i", "j", "row_key")
-    links = exact.mapInArrow(_exact_tiles(numer, denom), "a long, b long")
+    links = exact.mapInArrow(tb.frugal(_exact_tiles(numer, denom)), "a long, b long")
     copies = base.where("same_as is not null").select(F.col("row_key").alias("a"), F.col("same_as").alias("b")).unionByName(equal.select(F.col("row_key").alias("a"), F.col("first").alias("b")))
     return base.select("row_key", "n_shingles"), components(links.unionByName(copies))
 

@@ -244,7 +244,7 @@ def _labeller(model_of):
 def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """row_key, lang_pred and score of every row."""
     model_of = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col(key).cast("long").alias("row_key"), F.col(text).alias("text")).mapInArrow(_labeller(model_of), SCHEMA)
+    return docs.select(F.col(key).cast("long").alias("row_key"), F.col(text).alias("text")).mapInArrow(tb.frugal(_labeller(model_of)), SCHEMA)
 
 
 def keep_known(docs: DataFrame, model: Model, *, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
@@ -254,14 +254,14 @@ def keep_known(docs: DataFrame, model: Model, *, text: str = "text", least: floa
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model_of.value
-        for batch in batches:
+        for batch in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
             offsets, data = tb.string_parts(batch.column(at))
             good = np.zeros(batch.num_rows, dtype=bool)
             for a, b in tb.blocks(offsets, rows=BLOCK_ROWS):
                 good[a:b] = own.known(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]], least)
             yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tb.frugal(keep), docs.schema)
 
 
 def contract(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +42,21 @@ def table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """Within it, plans that are run send at most n rows at once between the JVM and Python: whole texts make large buffers, which the JVM's native heap then keeps in pieces.  The session's own setting, if it is lower, stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if 0 < int(before) <= n:
+        yield
+        return
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 _scopes: list[Scope] = []
 
 

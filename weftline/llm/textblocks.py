@@ -7,13 +7,14 @@ bytes, so nothing here works row by row and nothing is cut to a prefix.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 18
 _SEED = np.random.default_rng(20240607)
 #: One random 64-bit value for each byte, the alphabet of the polynomial word hash.
 BYTE_VALUES = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,6 +79,22 @@ def run_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, prime: int, b
     return (sums[end] - sums[start]) % np.uint64(prime) * prime_powers(base, prime, len(sums))[start] % np.uint64(prime)
 
 
+def frugal(run: Callable) -> Callable:
+    """A function over batches, after which its worker gives freed memory back to the system: Spark keeps workers for later tasks, beside an executor's heap that has grown meanwhile."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # a system without it keeps the memory
+                pass
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser, so that low and high bits of a hash are alike."""
     x = x ^ (x >> np.uint64(30))
@@ -103,14 +120,15 @@ def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (int64, one more than rows; nulls are empty) and bytes of a string column."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if not pa.types.is_large_string(column.type):
+    if not (pa.types.is_large_string(column.type) or pa.types.is_string(column.type)):
         column = column.cast(pa.large_string())
     if column.null_count:
         column = column.fill_null("")
     n = len(column)
     if n == 0:
         return np.zeros(1, np.int64), np.zeros(0, np.uint8)
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + n + 1].astype(np.int64)
     data = column.buffers()[2]
     data = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)
     return offsets - offsets[0], data[offsets[0] : offsets[-1]]
