@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from weftline.functions.lineage import settle
 from weftline.functions.vocabulary import CLIENT_PATTERNS, METHOD_NAMES, ROUTE_PATTERNS
 from weftline.sources.files import LINE_ENDS
 
 PARAM = "[^/]+"
+#: A parameter in a route whose other characters are compared.
+MARK = "\u0001"
 
 
 def bare_path(url: Column) -> Column:
@@ -51,33 +54,43 @@ def methods_agree(a: Column, b: Column) -> Column:
     return free(a) | free(b) | (a == b)
 
 
+def candidates(calls: DataFrame, routes: DataFrame) -> DataFrame:
+    """Calls (path, ...) with the plain routes (marked, ...) that have as many segments and agree where those hold no parameter."""
+    # A pattern's end also fits before a last line end.
+    path = F.regexp_replace("path", r"(?:\r\n|[\n\r\u0085\u2028\u2029])\z", "")
+    routes = routes.withColumn("parts", F.split("marked", "/")).withColumn("holes", F.transform("parts", lambda p: F.contains(p, F.lit(MARK))))
+    fixed = lambda parts: F.array_join(F.filter(parts, lambda _, i: ~F.get("holes", i)), "/")
+    shapes = routes.select("holes").distinct()
+    shaped = calls.withColumn("parts", F.split(path, "/")).join(F.broadcast(shapes), F.size("parts") == F.size("holes"))
+    return shaped.withColumn("rest", fixed("parts")).drop("parts").join(routes.withColumn("rest", fixed("parts")).drop("parts"), ["holes", "rest"]).drop("holes", "rest")
+
+
 def matches(calls: DataFrame, routes: DataFrame) -> DataFrame:
     """Every call with every route it fits: calls (symbol, language, url_pattern, method, file), routes likewise.  Duplicates stay.
 
     A plain route (letters, digits, common signs and whole parameters) only fits calls with as
-    many segments, and with its own first segment if that is no parameter; so the join is an
-    equality on those, and the pattern is tested on what meets.  Routes with signs of regular
-    expressions can span segments; they meet the calls of their first segment where that is
-    plain text with another segment after it, and otherwise all calls of a method that agrees.
-    One that does not compile fits its own text.
+    many segments that are equal to its own wherever those hold no parameter.  So calls take
+    the few shapes (number of segments, which of them hold parameters) that routes have, the
+    join is an equality on all other segments, and the pattern is tested on what meets.
+    Routes with signs of regular expressions can span segments; they meet the calls of their
+    first segment where that is plain text with another segment after it, and otherwise all
+    calls of a method that agrees.  One that does not compile fits its own text.
     """
-    left = calls.select(*(F.col(c).alias(f"c_{c}") for c in calls.columns)).withColumns({"path": call_path(F.col("c_url_pattern")), "bare": bare_path(F.col("c_url_pattern"))})
+    left = settle(calls.select(*(F.col(c).alias(f"c_{c}") for c in calls.columns)).withColumns({"path": call_path(F.col("c_url_pattern")), "bare": bare_path(F.col("c_url_pattern"))}))
     right = routes.select(*(F.col(c).alias(f"r_{c}") for c in routes.columns))
-    mark = "\u0001"
-    right = right.withColumns({"marked": route_template(F.col("r_url_pattern"), mark), "pattern": F.concat(F.lit("^"), route_template(F.col("r_url_pattern"), PARAM), F.lit("$"))})
-    head = lambda p: F.coalesce(F.get(F.split(p, "/"), F.lit(1)), F.lit(""))
-    right = right.withColumns({"n_r": F.size(F.split("marked", "/")), "head_r": head("marked"), "plain": F.col("marked").rlike(f"^[A-Za-z0-9_~%/:,;=&!@#{mark}-]*$")})
-    left = left.withColumns({"n": F.size(F.split("path", "/")), "head": head("path")})
+    right = settle(right.withColumns({"marked": route_template(F.col("r_url_pattern"), MARK), "pattern": F.concat(F.lit("^"), route_template(F.col("r_url_pattern"), PARAM), F.lit("$"))}))
+    right = right.withColumn("plain", F.col("marked").rlike(f"^[A-Za-z0-9_~%/:,;=&!@#{MARK}-]*$"))
     agree = methods_agree(F.col("c_method"), F.col("r_method"))
-    fixed = ~F.contains("head_r", F.lit(mark))
     fits = agree & F.expr("path rlike pattern")
-    known = left.join(right.where(F.col("plain") & fixed), (F.col("n") == F.col("n_r")) & (F.col("head") == F.col("head_r")) & fits)
-    open_ = left.join(right.where(F.col("plain") & ~fixed), (F.col("n") == F.col("n_r")) & fits)
-    odd = right.where(~F.col("plain")).withColumn("named", F.col("marked").rlike(r"^/[A-Za-z0-9_~%-]+/[^?*+{|]") & ~F.contains("marked", F.lit("|")))
-    near = left.join(odd.where("named"), (F.col("head") == F.col("head_r")) & agree)
+    known = candidates(left, right.where("plain")).where(fits)
+    odd = right.where("not plain").withColumn("named", F.col("marked").rlike(r"^/[A-Za-z0-9_~%-]+/[^?*+{|]") & ~F.contains("marked", F.lit("|")))
+    if odd.isEmpty():
+        return known.drop("plain", "path", "bare", "pattern", "marked")
+    head = lambda p: F.coalesce(F.get(F.split(p, "/"), F.lit(1)), F.lit(""))
+    near = left.join(odd.where("named"), (head("path") == head("marked")) & agree)
     any_ = left.join(odd.where("not named"), agree)
     free = near.unionByName(any_).where(_fits("path", "pattern", "bare", F.regexp_replace("r_url_pattern", "/+$", ""))).drop("named")
-    return known.unionByName(open_).unionByName(free).drop("n", "n_r", "head", "head_r", "plain", "path", "bare", "pattern", "marked")
+    return known.unionByName(free).drop("plain", "path", "bare", "pattern", "marked")
 
 
 def confidence(call_method: Column, route_method: Column, call_language: Column, route_language: Column, in_files: Column | None = None) -> Column:
@@ -106,19 +119,18 @@ def contracts(calls: DataFrame, routes: DataFrame) -> DataFrame:
 
 def _extract(units: DataFrame, patterns: dict, text: str) -> DataFrame:
     """A row for each match of each pattern of a unit's language: (symbol, language, url_pattern, method, file)."""
-    frames = []
+    names = F.create_map(*(F.lit(v) for kv in METHOD_NAMES.items() for v in kv))
+
+    def found(p) -> Column:
+        urls = F.regexp_extract_all(F.col(text), F.lit(p.regex), F.lit(p.url))
+        raw = F.regexp_extract_all(F.col(text), F.lit(p.regex), F.lit(p.method)) if p.method else F.transform(urls, lambda u: F.lit("ANY"))
+        return F.arrays_zip(urls.alias("u"), raw.alias("m"))
+
+    every = F.lit(None)
     for language, listed in patterns.items():
-        for p in listed:
-            own = units.where(F.col("language") == language)
-            urls = F.regexp_extract_all(F.col(text), F.lit(p.regex), F.lit(p.url))
-            raw = F.regexp_extract_all(F.col(text), F.lit(p.regex), F.lit(p.method)) if p.method else F.transform(urls, lambda u: F.lit("ANY"))
-            found = own.select("symbol", "language", "file", F.explode(F.arrays_zip(urls.alias("u"), raw.alias("m"))).alias("x"))
-            names = F.create_map(*(F.lit(v) for kv in METHOD_NAMES.items() for v in kv))
-            frames.append(found.select("symbol", "language", F.col("x.u").alias("url_pattern"), F.coalesce(names[F.col("x.m")], F.upper("x.m")).alias("method"), "file"))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+        every = F.when(F.col("language") == language, F.concat(*(found(p) for p in listed))).otherwise(every)
+    rows = units.select("symbol", "language", "file", F.explode(every).alias("x"))
+    return rows.select("symbol", "language", F.col("x.u").alias("url_pattern"), F.coalesce(names[F.col("x.m")], F.upper("x.m")).alias("method"), "file")
 
 
 def route_definitions(units: DataFrame) -> DataFrame:
