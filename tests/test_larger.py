@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from weftline.functions import projects
 from weftline.operators import routes
 
 CALL = "symbol string, language string, url_pattern string, method string, file string"
@@ -32,3 +33,10 @@ def test_matches_are_those_of_the_patterns(spark):
     pattern = lambda u: "^" + re.sub(r"\{[a-zA-Z_]\w*\}", lambda _: routes.PARAM, re.sub(r":[a-zA-Z_]\w*", lambda _: routes.PARAM, bare(u))) + "$"
     wanted = [(f"s{i}", f"s{j}") for i, u in enumerate(urls) for j, r in enumerate(listed) if re.match(pattern(r), path(u))]
     assert sorted(map(tuple, found)) == sorted(wanted)
+
+
+def test_files_of_small_rows_are_dealt_to_many_tasks(spark, tmp_path):
+    spark.range(9_000).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    found = projects.source_files(spark, str(tmp_path), (projects.SCRIPT,))
+    tasks = found.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in tasks) == 9_000 and max(r["count"] for r in tasks) < 5_000
