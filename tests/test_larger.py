@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import projects
 from weftline.operators import routes
+from weftline.plans import snapshot
 
 CALL = "symbol string, language string, url_pattern string, method string, file string"
 
@@ -40,3 +41,24 @@ def test_files_of_small_rows_are_dealt_to_many_tasks(spark, tmp_path):
     found = projects.source_files(spark, str(tmp_path), (projects.SCRIPT,))
     tasks = found.groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in tasks) == 9_000 and max(r["count"] for r in tasks) < 5_000
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_are_not_dealt_by_a_file_that_owns_most(spark, monkeypatch):
+    nodes = spark.range(400).select(F.concat(F.lit("n"), "id").alias("id"), F.when(F.col("id") % 10 == 0, "a").otherwise("b").alias("file"))
+    edges = spark.range(400).select(F.concat(F.lit("n"), "id").alias("src"), F.concat(F.lit("n"), (F.col("id") * 7 % 400).cast("string")).alias("dst"), F.when(F.col("id") % 10 == 0, "a").otherwise("b").alias("file"))
+    hashes = spark.createDataFrame([("a", "x", 0), ("b", "y", 0)], "file string, sha256 string, indexed_at long")
+    new = (nodes.where("file = 'a'").limit(7), edges.where("file = 'a'").limit(5), hashes.where("file = 'a'"))
+    wanted = {False: 360 + 5, True: sum(1 for i in range(400) if i % 10 and (i * 7 % 400) % 10) + 5}
+    for few in (True, False):
+        if not few:
+            monkeypatch.setattr(snapshot, "KEYS_SENT", 0)
+        for compat in (False, True):
+            n, e, h = snapshot.replace_files((nodes, edges, hashes), new, compat)
+            assert (n.count(), e.count(), h.count()) == (360 + 7, wanted[compat], 2)
+            for df in (n, e):
+                assert "SortMergeJoin" not in _plan(df)
+                assert few != ("ShuffledHashJoin" in _plan(df))
