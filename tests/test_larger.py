@@ -3,10 +3,11 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import projects
-from weftline.operators import routes
+from weftline.operators import impact, routes, traverse
 from weftline.plans import snapshot
 
 CALL = "symbol string, language string, url_pattern string, method string, file string"
@@ -62,3 +63,19 @@ def test_rows_are_not_dealt_by_a_file_that_owns_most(spark, monkeypatch):
             for df in (n, e):
                 assert "SortMergeJoin" not in _plan(df)
                 assert few != ("ShuffledHashJoin" in _plan(df))
+
+
+def test_ranked_impact_without_inspected_steps(spark, monkeypatch):
+    dice = random.Random(3)
+    pairs = [(f"n{dice.randrange(60)}", f"n{dice.randrange(60)}", dice.choice(["calls", "asserts_on", "mutates", "side_effect"])) for _ in range(250)]
+    edges = spark.createDataFrame([(i, a, b, k, 1.0) for i, (a, b, k) in enumerate(pairs)], "edge_id long, src string, dst string, kind string, confidence double")
+    nodes = spark.createDataFrame([(f"n{i}", i % 2, 0) for i in range(0, 60, 2)], "id string, is_public int, is_test int")
+    wanted = [tuple(r) for r in impact.ranked(impact.at_risk(nodes, edges, "n1", 4)).select("symbol", "distance", "risk_score", "ord").collect()]
+    monkeypatch.setattr(impact, "subgraph", lambda *_: pytest.fail("inspected steps and paths are not needed"))
+    for sent in (50_000, 0):
+        monkeypatch.setattr(traverse, "FRONT_SENT", sent)
+        found = impact.at_risk(nodes, edges, "n1", 4, with_factors=False)
+        assert [tuple(r) for r in impact.ranked(found).select("symbol", "distance", "risk_score", "ord").collect()] == wanted
+        assert "ord" in found.columns
+    old = traverse.subgraph(edges, "n1", "callers", 4).nodes
+    assert {(r["id"], r["hop"], tuple(r["ord"])) for r in old.collect()} == {(r["id"], r["hop"], tuple(r["ord"])) for r in traverse.discovered(edges, "n1", "callers", 4).collect()}

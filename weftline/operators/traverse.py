@@ -5,9 +5,9 @@ positions along their tree paths.  So each reached node carries its path and tha
 positions, the tree parent is a partially aggregated minimum, and neither a window nor a
 global row number is needed: a hop is one join, one anti-join and one aggregation.
 
-A front that is measured to be small is sent to the edges, which then do not move.  For a
-large one the edges are dealt by their near end once for the whole traversal, and fronts
-meet them there.  Who only asks what is reached at which hop uses ``reach``, which carries
+A front that is measured to be small is sent to the edges, which then do not move.  With a
+larger one the edges move once for the hop, and are not sorted while tasks can hold their
+shares of the front.  Who only asks what is reached at which hop uses ``reach``, which carries
 neither positions nor paths.
 """
 
@@ -24,6 +24,8 @@ from weftline.functions.lineage import settle
 _FAR = 1 << 62
 #: Rows of a front or of the reached set that may be broadcast (an id each, or an id, positions and path of a few hops).
 FRONT_SENT = 50_000
+#: Rows of those that tasks may hold in hash tables, all together; more are met by sorting.
+FRONT_HASHED = 50_000_000
 
 
 @dataclass
@@ -55,36 +57,29 @@ def steps(edges: DataFrame, direction: str, min_confidence: float = 0.0, kinds:
     return forward.unionByName(backward.where("src <> dst").withColumn("o", F.col("o") + _FAR))
 
 
-class _Edges:
-    """Steps to which fronts are joined."""
+def _lookup(rows: DataFrame, n: int) -> DataFrame:
+    """The n rows in the form in which larger tables meet them."""
+    return F.broadcast(rows) if n <= FRONT_SENT else rows.hint("shuffle_hash") if n <= FRONT_HASHED else rows
 
-    def __init__(self, step: DataFrame):
-        self.step, self._dealt = step, None
 
-    def meet(self, front: DataFrame, n: int) -> DataFrame:
-        """Steps from the n rows of a front (id, ...)."""
-        front = front.withColumnRenamed("id", "cur")
-        if n <= FRONT_SENT:
-            return self.step.join(F.broadcast(front), "cur")
-        if self._dealt is None:
-            self._dealt = settle(self.step.repartition("cur"))
-        return self._dealt.join(front, "cur")
+def _meet(step: DataFrame, front: DataFrame, n: int) -> DataFrame:
+    """Steps from the n rows of a front (id, ...)."""
+    return step.join(_lookup(front.withColumnRenamed("id", "cur"), n), "cur")
 
 
 def _unseen(found: DataFrame, visited: DataFrame, n: int) -> DataFrame:
     """Rows of found (nb, ...) whose nb is none of the n visited."""
-    seen = visited.select(F.col("id").alias("nb"))
-    return found.join(F.broadcast(seen) if n <= FRONT_SENT else seen, "nb", "left_anti")
+    return found.join(_lookup(visited.select(F.col("id").alias("nb")), n), "nb", "left_anti")
 
 
 def reach(edges: DataFrame, root: str, direction: str = "both", max_hops: int = 3, min_confidence: float = 0.0, kinds: list[str] | None = None) -> DataFrame:
     """(id, hop) of everything within max_hops of the root, the root itself included."""
     spark = edges.sparkSession
-    step = _Edges(steps(edges, direction, min_confidence, kinds).select("cur", "nb"))
+    step = steps(edges, direction, min_confidence, kinds).select("cur", "nb")
     front = spark.range(1).select(F.lit(root).alias("id"), F.lit(0).alias("hop"))
     visited, n, total = front, 1, 1
     for hop in range(1, max_hops + 1):
-        new = _unseen(step.meet(front.select("id"), n).select("nb").distinct(), visited, total)
+        new = _unseen(_meet(step, front.select("id"), n).select("nb").distinct(), visited, total)
         front = settle(new.select(F.col("nb").alias("id"), F.lit(hop).alias("hop")))
         n = front.count()
         if not n:
@@ -97,9 +92,8 @@ def walk(spark: SparkSession, step: DataFrame, root: str, max_hops: int) -> tupl
     """(reached ids with hop, ord and path; inspected steps).  Stops early when nothing new is found."""
     front = spark.range(1).select(F.lit(root).alias("id"), F.lit(0).alias("hop"), F.expr("cast(array() as array<bigint>)").alias("ord"), F.array(F.lit(root)).alias("path"))
     visited, inspected, n, total = front, None, 1, 1
-    met = _Edges(step)
     for hop in range(1, max_hops + 1):
-        seen = met.meet(front.drop("hop"), n)
+        seen = _meet(step, front.drop("hop"), n)
         seen = seen.select("edge_id", "src", "dst", "kind", "confidence", "cur", "nb", F.lit(hop).alias("hops"), F.concat("ord", F.array("o")).alias("ord"), "path")
         seen = settle(seen)
         inspected = seen if inspected is None else inspected.unionByName(seen)
@@ -112,6 +106,23 @@ def walk(spark: SparkSession, step: DataFrame, root: str, max_hops: int) -> tupl
     return visited, inspected
 
 
+def discovered(edges: DataFrame, root: str, direction: str = "both", max_hops: int = 3) -> DataFrame:
+    """(id, hop, ord) of everything within max_hops of the root: as ``walk``, without inspected steps and paths, so that only ends and positions move."""
+    spark = edges.sparkSession
+    step = steps(edges, direction).select("cur", "nb", "o")
+    front = spark.range(1).select(F.lit(root).alias("id"), F.lit(0).alias("hop"), F.expr("cast(array() as array<bigint>)").alias("ord"))
+    visited, n, total = front, 1, 1
+    for hop in range(1, max_hops + 1):
+        found = _meet(step, front.select("id", "ord"), n).select("nb", F.concat("ord", F.array("o")).alias("ord"))
+        best = _unseen(found.groupBy("nb").agg(F.min("ord").alias("ord")), visited, total)
+        front = settle(best.select(F.col("nb").alias("id"), F.lit(hop).alias("hop"), "ord"))
+        n = front.count()
+        if not n:
+            break
+        visited, total = visited.unionByName(front), total + n
+    return visited
+
+
 def subgraph(edges: DataFrame, root: str, direction: str = "both", max_hops: int = 3, min_confidence: float = 0.0, kinds: list[str] | None = None, strict_cycles: bool = False) -> Subgraph:
     """Everything within max_hops of the root; nodes at the last hop are not expanded, all kinds are followed, a root without edges or node is traversed too.
 
