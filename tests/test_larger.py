@@ -79,3 +79,19 @@ def test_ranked_impact_without_inspected_steps(spark, monkeypatch):
         assert "ord" in found.columns
     old = traverse.subgraph(edges, "n1", "callers", 4).nodes
     assert {(r["id"], r["hop"], tuple(r["ord"])) for r in old.collect()} == {(r["id"], r["hop"], tuple(r["ord"])) for r in traverse.discovered(edges, "n1", "callers", 4).collect()}
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    store = snapshot.Store(spark, f"{tmp_path}/store", buckets=1)
+    rows = spark.range(0, 20_000, 1, 4).select(F.sha2(F.col("id").cast("string"), 256).alias("src"), F.sha2((F.col("id") + 1).cast("string"), 256).alias("dst"), F.lit("calls").alias("kind"), F.concat(F.lit("f"), F.col("id") % 50).alias("file"))
+    small = ["spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize"]
+    before = [spark.conf.get(c) for c in small]
+    try:
+        for c in small:
+            spark.conf.set(c, "50k")
+        store.insert_edges(rows)
+    finally:
+        for c, value in zip(small, before):
+            spark.conf.set(c, value)
+    assert len(list(tmp_path.glob("store/*/edges/bucket=0/*.parquet"))) > 1
+    assert store.read("edges").agg(F.count_distinct("edge_id"), F.count_distinct("src")).first()[:] == (20_000, 20_000)
